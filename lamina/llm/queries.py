@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina import ship
+
 from .common import documents
+from .lines import LINE_DEDUP_SQL, dedup_lines
 from .mixing import mix
+from .packing import pack
 from .sharding import shard_by_bytes
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pack(documents(spark, sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = mix(documents(spark, sf_dir)).filter(F.col("turn") == 0)
     return first.select("doc_id", "size", "source_size", "target", "taken", "finish", "mix_start")
@@ -19,9 +28,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), 24)
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    kept = dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op9_sharding, op10_lines)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op10_lines": LINE_DEDUP_SQL}
