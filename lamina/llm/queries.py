@@ -11,7 +11,9 @@ from .common import documents
 from .lines import LINE_DEDUP_SQL, dedup_lines
 from .mixing import mix
 from .packing import pack
+from .quality import quality_rules
 from .sharding import shard_by_bytes
+from .urls import URL_SQL, url_filter
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", "size", "source_size", "target", "taken", "finish", "mix_start")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled outcomes: the labels whose id is a page's; bad is low quality or toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter(pages, labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), 24)
 
@@ -35,8 +50,8 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op9_sharding, op10_lines)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality, op4_urls, op9_sharding, op10_lines)}
 
 
 def oracle_sql() -> dict:
-    return {"op10_lines": LINE_DEDUP_SQL}
+    return {"op4_urls": URL_SQL, "op10_lines": LINE_DEDUP_SQL}
