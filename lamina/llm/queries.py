@@ -10,12 +10,27 @@ from lamina import ship
 from .common import documents
 from .lines import LINE_DEDUP_SQL, dedup_lines
 from .mixing import mix
+from .neardup import near_duplicates
 from .packing import pack
 from .quality import quality_rules
 from .sharding import shard_by_bytes
+from .topk import top_k
 from .urls import URL_SQL, url_filter
 
 
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return pack(documents(spark, sf_dir))
@@ -39,6 +54,17 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages, labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), 24)
 
@@ -50,8 +76,8 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality, op4_urls, op9_sharding, op10_lines)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality, op4_urls, op5_neardup, op7_topk, op9_sharding, op10_lines)}
 
 
 def oracle_sql() -> dict:
-    return {"op4_urls": URL_SQL, "op10_lines": LINE_DEDUP_SQL}
+    return {"op4_urls": URL_SQL, "op7_topk": TOPK_SQL, "op10_lines": LINE_DEDUP_SQL}
