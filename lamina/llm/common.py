@@ -76,3 +76,16 @@ def n_words(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Words as an array; empty for a null text."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def text_hash() -> Column:
+    """Hash of the text; with the id it tells rows of repeated ids apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def one_each(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """df with its repeated rows (same id and text) once; rows: doc_id, th of df. Texts move only if
+    there are such rows."""
+    if rows.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count():
+        return df.withColumn("__th", text_hash()).dropDuplicates(["doc_id", "__th"]).drop("__th")
+    return df

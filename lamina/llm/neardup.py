@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, stage
+from .common import WORD, stage, text_hash
 
 #: A ring of five segments of the 64 bits: with at most 4 differing bits, some run of segments has
 #: 0, <= 1, <= 2, <= 3 differing bits over its first 1, 2, 3, 4 segments (4 / 5 a segment).
@@ -43,15 +43,15 @@ def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
             made = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch["text"]), dtype=np.uint64, count=batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(made)], names=[*batch.schema.names[:-1], "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(made)], names=["doc_id", "th", "fp"])
 
     return run
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", shingle: int = 4) -> DataFrame:
-    """doc_id, fp: the fingerprint of every whole text, as a signed long."""
-    schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return df.select(F.col(id_col).alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), schema)
+    """doc_id, th (hash of the text), fp: the fingerprint of every whole text, as a signed long."""
+    schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("fp", T.LongType())])
+    return df.select(F.col(id_col).alias("doc_id"), text_hash().alias("th"), "text").mapInArrow(_fingerprints(shingle), schema)
 
 
 def _keys(two: bool):
@@ -210,7 +210,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", shingle: int = 4, block: int = BLOCK, two: bool | None = None) -> DataFrame:
-    """doc_id, fp, component_id of every row of df: rows whose fingerprints differ in at most BITS
+    """doc_id, th, fp, component_id of every row of df: rows whose fingerprints differ in at most BITS
     bits link, and component_id is the smallest id reachable.
 
     Equal fingerprints are one node from the start, so copies of any number cost one row. Null,
@@ -225,4 +225,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", shingle: int = 4, blo
     ids = stage(joined.select("fp", "root", "least"), "rooted")
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     named = ids.join(least, "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    return made.join(named, "fp").select("doc_id", "th", "fp", "component_id")

@@ -12,8 +12,10 @@ from .lines import LINE_DEDUP_SQL, dedup_lines
 from .mixing import mix
 from .neardup import near_duplicates
 from .packing import pack
+from .pii import replace_pii
 from .quality import quality_rules
 from .sharding import shard_by_bytes
+from .substrings import repeated_spans
 from .topk import top_k
 from .urls import URL_SQL, url_filter
 
@@ -60,11 +62,21 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return replace_pii(documents(spark, sf_dir)).select("doc_id", "n_entities", "text")
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return repeated_spans(documents(spark, sf_dir)).select("doc_id", "start", "length", "n_chunks", "first_doc_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), 24)
 
@@ -75,8 +87,15 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality, op4_urls, op5_neardup, op7_topk, op9_sharding, op10_lines)}
+    ops = (op1_packing, op2_mixing, op3_quality, op4_urls, op5_neardup, op6_pii, op7_topk, op8_substrings, op9_sharding, op10_lines)
+    return {f.__name__: f for f in (*ops, pipeline)}
 
 
 def oracle_sql() -> dict:
