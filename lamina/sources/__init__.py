@@ -1,0 +1 @@
+"""Sources and sinks: streams of bytes, tables in the shared folder, reports."""

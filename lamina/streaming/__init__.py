@@ -1,0 +1 @@
+"""Incremental dedup of streams."""
