@@ -15,12 +15,14 @@ from .operators.codecs import CODECS
 from .plans.scrub import ScrubConfig, measure, scrub
 from .sources.tables import document_streams, memory_streams, page_streams, stage, table
 
-RAW = F.encode("text", "utf-8")
+
+def _raw():
+    return F.encode("text", "utf-8")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, chunk_id, data."""
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.sha2(RAW, 256).alias("chunk_id"), RAW.alias("data"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.sha2(_raw(), 256).alias("chunk_id"), _raw().alias("data"))
 
 
 def _units(spark, sf_dir) -> DataFrame:
