@@ -74,7 +74,9 @@ def splitters(keys: DataFrame, n_shards: int, tolerance: float) -> list[tuple[in
         one_text: set[int] = set()
         for p, (below, inside_) in open_.items():
             for q, r in sorted(parts[p], key=lambda x: x[0]):
-                for j in [j for j in inside_ if j not in found and want[j] <= below + r["w"]]:
+                here = [j for j in inside_ if want[j] <= below + r["w"]]
+                inside_ = inside_[len(here) :]  # each splitter lies in the first interval that reaches it
+                for j in here:
                     low, high = want[j] - below, below + r["w"] - want[j]
                     single = r["n"] == 1 or at >= 128 or (r["h0"] == r["h1"] and r["d0"] == r["d1"])
                     if single or min(low, high) <= tolerance * total / n_shards:
