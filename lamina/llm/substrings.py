@@ -91,15 +91,26 @@ def repeated_spans(df: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     no rows. Other columns are ignored.
     """
     made = stage(chunks(df), "chunks")
-    at = F.posexplode(F.arrays_zip("digest", "stop")).alias("pos", "c")
+    # the text's hash travels with every chunk only if ids repeat; it does not compress
+    twice = made.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    doc = ["doc_id", "th"] if twice else ["doc_id"]
     owners = made.select("doc_id", F.explode("digest").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("loose"))
     owners = owners.filter((F.col("owner") < F.col("last")) | (F.col("loose") & F.col("owner").isNotNull())).select("digest", "owner")
     start = F.when(F.col("pos") > 0, F.get("stop", F.col("pos") - 1)).otherwise(0)
-    each = made.select("doc_id", "th", "stop", at).select("doc_id", "th", "pos", F.col("c.digest").alias("digest"), start.alias("start"), (F.col("c.stop") - start).alias("size"))
-    hit = each.join(owners, "digest").filter(F.col("doc_id").isNull() | (F.col("owner") < F.col("doc_id"))).drop("digest").distinct()
-    run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("pos"))
-    spans = hit.withColumn("run", run).groupBy("doc_id", "th", "run").agg(F.min("start").cast("long").alias("start"), F.sum("size").cast("long").alias("length"), F.count(F.lit(1)).alias("n_chunks"), F.max_by("owner", F.struct("size", "pos")).alias("first_doc_id"))
-    return spans.filter(F.col("length") >= min_bytes).drop("run")
+    each = made.select(*doc, "stop", F.posexplode(F.arrays_zip("digest", "stop")).alias("pos", "c"))
+    each = each.select(*doc, F.col("c.digest").alias("digest"), start.alias("start"), (F.col("c.stop") - start).alias("size"))
+    hit = each.join(owners, "digest").filter(F.col("doc_id").isNull() | (F.col("owner") < F.col("doc_id"))).drop("digest")
+    hit = hit.repartition(*doc)  # serves the steps below alike
+    if twice:
+        hit = hit.distinct()
+    at = Window.partitionBy(*doc).orderBy("start")
+    opens = F.coalesce(F.lag(F.col("start") + F.col("size")).over(at) != F.col("start"), F.lit(True)).cast("long")
+    run = F.sum("opens").over(at.rowsBetween(Window.unboundedPreceding, 0))
+    runs = hit.withColumn("opens", opens).withColumn("run", run).groupBy(*doc, "run").agg(F.min("start").cast("long").alias("start"), F.sum("size").cast("long").alias("length"), F.count(F.lit(1)).alias("n_chunks"), F.max_by("owner", F.struct("size", "start")).alias("first_doc_id"))
+    spans = runs.filter(F.col("length") >= min_bytes).drop("run")
+    if not twice:
+        spans = spans.join(made.select(F.col("doc_id").alias("__id"), "th"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    return spans.select("doc_id", "th", "start", "length", "n_chunks", "first_doc_id")
 
 
 def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
