@@ -96,6 +96,7 @@ def repeated_spans(df: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     doc = ["doc_id", "th"] if twice else ["doc_id"]
     owners = made.select("doc_id", F.explode("digest").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("loose"))
     owners = owners.filter((F.col("owner") < F.col("last")) | (F.col("loose") & F.col("owner").isNotNull())).select("digest", "owner")
+    owners = stage(owners, "owners")  # so that both sides of the join come by plain exchanges, which Spark can split where a chunk is hot
     start = F.when(F.col("pos") > 0, F.get("stop", F.col("pos") - 1)).otherwise(0)
     each = made.select(*doc, "stop", F.posexplode(F.arrays_zip("digest", "stop")).alias("pos", "c"))
     each = each.select(*doc, F.col("c.digest").alias("digest"), start.alias("start"), (F.col("c.stop") - start).alias("size"))
