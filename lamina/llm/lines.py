@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, stage, table_path
 
-SPACE = r" \t\n\u000B\f\r"
+SPACE = r" \t\n\u000B\u000C\r"
 
 
 def line_key(line: str) -> Column:
