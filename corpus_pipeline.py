@@ -9,9 +9,9 @@ from lamina import ship
 from lamina.llm.common import one_each, stage, text_hash
 from lamina.llm.lines import dedup_lines
 from lamina.llm.mixing import mix
-from lamina.llm.neardup import near_duplicates
 from lamina.llm.packing import pack
 from lamina.llm.quality import quality_rules
+from lamina.llm.similar import similar_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,9 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near-duplicates; repeated rows once."""
+    """The document of the smallest id of every group of near-duplicates, which share 0.8 or more of
+    their shingles of five words; repeated rows once."""
     ship(spark)
-    found = stage(near_duplicates(docs), "near-duplicates")
+    found = stage(similar_documents(docs), "near-duplicates")
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__th"))
     return one_each(docs, found).join(first, same, "left_semi").select(*COLUMNS)
