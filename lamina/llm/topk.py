@@ -4,105 +4,213 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: Vectors of a candidate block, queries of a query block, dimensions of a column block.
-CANDIDATES, QUERIES, DIMENSIONS = 4096, 512, 16
-
-
-def quantised(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of every component as integers; null for a vector that takes no part: null,
-    or with a null or non-finite component."""
-    x = F.transform(vector, lambda c: c.cast("double"))
-    odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return F.when(~F.coalesce(odd, F.lit(True)), F.transform(x, lambda c: F.floor(c * scale)))
-
-
-class Columns:
-    """A block of vectors in vertical layout: blocks of dimensions, and the mass left after each."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, step: int = DIMENSIONS):
-        self.ids, self.n = ids, len(ids)
-        cuts = range(0, rows.shape[1], step) if rows.size else range(0)
-        self.cuts = [slice(a, a + step) for a in cuts]
-        self.parts = [np.ascontiguousarray(rows[:, c]) for c in self.cuts]
-        square = [np.einsum("ij,ij->i", p, p) for p in self.parts]
-        left = np.cumsum(square[::-1], axis=0)[::-1] if square else []
-        self.left = [np.sqrt(x) for x in left[1:]]
-
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the block's k best for the query, ties to the smaller id; not id `own`.
-
-        Scores grow dimension block by dimension block. By Cauchy-Schwarz, what is still to come is
-        at most the product of the two remaining masses; candidates whose score plus that bound stays
-        under the k-th best lower bound can't be among the best and are dropped from the columns.
-        """
-        at = np.flatnonzero(self.ids != own)
-        score = np.zeros(len(at))
-        for b, c in enumerate(self.cuts):
-            q = query[c]
-            score = score + (self.parts[b] if len(at) == self.n else self.parts[b][at]) @ q
-            if b < len(self.left) and len(at) > k:
-                rest = query[c.stop :]
-                room = self.left[b][at] * float(np.sqrt(rest @ rest)) + 1.0
-                least = np.partition(score - room, len(at) - k)[len(at) - k]
-                stay = score + room >= least
-                at, score = at[stay], score[stay]
-        order = np.lexsort((self.ids[at], -score))[:k]
-        return self.ids[at[order]], score[order].astype(np.int64)
-
-
-def _search(k: int):
-    def run(rows: pa.Table) -> pa.Table:
-        ids, ask, v = rows["id"].to_numpy(), rows["ask"].to_numpy(), rows["v"].combine_chunks()
-        at = v.offsets.to_numpy()
-        flat, size = v.values.to_numpy().astype(np.float64), np.diff(at)
-        out: list[tuple] = []
-        for d in np.unique(size[ask]):  # only vectors of the same length meet
-            own, asked = np.flatnonzero(~ask & (size == d)), np.flatnonzero(ask & (size == d))
-            take = lambda x: flat[at[x][:, None] + np.arange(d)]
-            block = Columns(ids[own], take(own))
-            out += [(ids[q], *block.best(row, ids[q], k)) for q, row in zip(asked, take(asked))]
-        many = lambda c: np.concatenate([x[c] for x in out]) if out else np.array([], dtype=np.int64)
-        asked_by = np.repeat(np.array([x[0] for x in out], dtype=np.int64), [len(x[1]) for x in out])
-        return pa.table({"query_id": asked_by, "vec_id": many(1), "score": many(2)})
+from pyspark.sql.window import Window
+
+from .common import stage
+
+#: Vectors of a block, dimensions of a column block, queries that go through the columns together.
+CANDIDATES, DIMENSIONS, TILE = 4096, 16, 256
+#: Bytes that a task may need for the queries that are broadcast at once, with their best so far.
+QUERY_BYTES = 128 << 20
+#: Rows of a buffer of vectors of all lengths.
+BUFFER = 1 << 16
+BLOCK = "ask boolean, key long, d int, n int, most double, kind string, ids binary, columns binary"
+
+
+def takes_part(vector: Column) -> Column:
+    """False for null vectors and those with a null or non-finite component."""
+    odd = F.exists(vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
+    return ~F.coalesce(odd, F.lit(True))
+
+
+def _packed(ask: bool, ids: list, rows: list) -> dict:
+    """A block in vertical layout: dimension by dimension, in the smallest type that holds it."""
+    x = np.array(rows, dtype=np.float64).reshape(len(rows), len(rows[0])).T
+    most = float(np.abs(x).max()) if x.size else 0.0
+    kind = next((k for k, m in (("i1", 127), ("i2", 32767), ("i4", 2**31 - 1)) if most <= m), "f8")
+    raw = np.array(ids, dtype=np.int64).tobytes(), np.ascontiguousarray(x.astype(kind)).tobytes()
+    return {"ask": ask, "key": xxhash.xxh64_intdigest(b"".join(raw)) >> 1, "d": x.shape[0], "n": x.shape[1], "most": most, "kind": kind, "ids": raw[0], "columns": raw[1]}
+
+
+def _blocks(scale: int, size: int):
+    """Rows (id, ask, x) -> blocks of at most `size` vectors of a length: all vectors, and the queries
+    once more in blocks of their own."""
+
+    def run(batches):
+        held: dict[tuple, tuple[list, list]] = {}
+        n, schema = 0, pa.schema([("ask", pa.bool_()), ("key", pa.int64()), ("d", pa.int32()), ("n", pa.int32()), ("most", pa.float64()), ("kind", pa.string()), ("ids", pa.binary()), ("columns", pa.binary())])
+
+        def flush(keys):
+            return pa.RecordBatch.from_pylist([_packed(k[0], *held.pop(k)) for k in keys], schema=schema)
+
+        for batch in batches:
+            ids, asks, x = batch["id"].to_pylist(), batch["ask"].to_pylist(), batch["x"]
+            at, flat = x.offsets.to_numpy(), np.floor(x.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+            for i, (vec_id, asked) in enumerate(zip(ids, asks)):
+                row = flat[at[i] : at[i + 1]]
+                for ask in (False, True) if asked else (False,):
+                    own = held.setdefault((ask, len(row)), ([], []))
+                    own[0].append(vec_id)
+                    own[1].append(row)
+                    n += 1
+                    if len(own[0]) >= size:
+                        n -= size
+                        yield flush([(ask, len(row))])
+                if n >= BUFFER:
+                    n = 0
+                    yield flush(list(held))
+        if held:
+            yield flush(list(held))
 
     return run
 
 
-def _merge(k: int):
-    def run(rows: pa.Table) -> pa.Table:
-        q, v, s = (rows[c].to_numpy() for c in ("query_id", "vec_id", "score"))
-        order = np.lexsort((v, -s, q))
-        q, v, s = q[order], v[order], s[order]
-        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], dtype=int)
-        rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)])) + 1
-        keep = rank <= k
-        return pa.table({"query_id": q[keep], "rank": rank[keep].astype(np.int32), "vec_id": v[keep], "score": s[keep]})
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """ids and columns (d x n, doubles) of a block."""
+    return np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["columns"], dtype=row["kind"]).reshape(row["d"], row["n"]).astype(np.float64)
+
+
+def _left(columns: np.ndarray, cuts: list[slice]) -> list[np.ndarray]:
+    """Mass (norm) of what follows each column block, rounded up."""
+    square = [np.einsum("ij,ij->j", columns[c], columns[c]) for c in cuts]
+    return [np.sqrt(x) * (1 + 1e-12) for x in np.cumsum(square[::-1], axis=0)[::-1][1:]] if square else []
+
+
+class Search:
+    """The k best of the blocks seen so far for queries of one length.
+
+    A tile of queries goes through a block's columns, dimension block by dimension block. By
+    Cauchy-Schwarz, what is still to come is at most the product of the two remaining masses; where
+    score plus that bound stays under the query's k-th best so far, the candidate is out. Once few
+    survive, each query's are compacted and only they go on.
+    """
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, exact: bool, step: int = DIMENSIONS):
+        self.ids, self.rows, self.k, self.exact = ids, rows, k, exact
+        self.cuts = [slice(a, a + step) for a in range(0, rows.shape[1], step)]
+        self.left = _left(rows.T, self.cuts)
+        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), best first
+        self.least = np.full(len(ids), -np.inf)
+
+    def see(self, ids: np.ndarray, columns: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        own = np.searchsorted(ids[order], self.ids, "left"), np.searchsorted(ids[order], self.ids, "right")
+        norms = np.sqrt(np.einsum("ij,ij->j", columns, columns)) * (1 + 1e-12)
+        left = _left(columns, self.cuts)
+        for a in range(0, len(self.ids), TILE):
+            tile = slice(a, min(a + TILE, len(self.ids)))
+            score = np.zeros((tile.stop - a, len(ids)))
+            for i in np.flatnonzero(own[0][tile] < own[1][tile]):
+                score[i, order[own[0][a + i] : own[1][a + i]]] = -np.inf
+            survivors = None
+            for b, cut in enumerate(self.cuts):
+                score += self.rows[tile, cut] @ columns[cut]
+                if self.exact and b < len(left) and np.isfinite(self.least[tile]).all():
+                    alive = score + np.outer(self.left[b][tile], left[b]) >= self.least[tile, None]
+                    if alive.mean() < 1 / 8:
+                        survivors = [np.flatnonzero(x) for x in alive]
+                        break
+            for i in range(tile.stop - a):
+                q = a + i
+                if survivors is not None:
+                    at = survivors[i]
+                    made = score[i, at] + self.rows[q, cut.stop :] @ columns[cut.stop :, at]
+                else:
+                    at, made = np.arange(len(ids)), score[i]
+                self._keep(q, at, made, ids, columns, norms)
+
+    def _keep(self, q: int, at: np.ndarray, made: np.ndarray, ids: np.ndarray, columns: np.ndarray, norms: np.ndarray) -> None:
+        stay = made > -np.inf
+        # without exact sums, each may be off by the rounding of its terms
+        off = 0.0 if self.exact else (len(columns) + 4) * 2.0**-51 * np.sqrt(self.rows[q] @ self.rows[q]) * norms[at]
+        if not self.exact:
+            stay &= ids[at] != self.ids[q]
+            off = np.nan_to_num(off, nan=np.inf)
+        stay &= made + off >= self.least[q]
+        at, made, off = at[stay], made[stay], off if self.exact else off[stay]
+        if len(at) > self.k:
+            low = made - off
+            stay = made + off >= np.partition(low, len(at) - self.k)[len(at) - self.k]
+            at, made = at[stay], made[stay]
+        if not len(at):
+            return
+        if self.exact:
+            new = zip((-made).astype(np.int64).tolist(), ids[at].tolist())
+        else:
+            own = [int(x) for x in self.rows[q]]
+            new = ((-sum(x * int(y) for x, y in zip(own, columns[:, j])), int(ids[j])) for j in at)
+        self.found[q] = sorted([*self.found[q], *new])[: self.k]
+        if len(self.found[q]) == self.k:
+            least = -self.found[q][-1][0]
+            self.least[q] = least if self.exact else float(least) - abs(float(least)) * 2.0**-52
+
+
+def _searched(queries, k: int, exact: bool):
+    """Blocks -> each query's k best of this task's."""
+
+    def run(batches):
+        asked: dict[int, Search] = {}
+        for d, parts in queries.value.items():
+            ids, rows = zip(*map(_unpacked, parts))
+            asked[d] = Search(np.concatenate(ids), np.concatenate([r.T for r in rows]), k, exact)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["d"] in asked:
+                    asked[row["d"]].see(*_unpacked(row))
+        for s in asked.values():
+            for a in range(0, len(s.ids), TILE):
+                rows = [(q, v, -m) for q, found in zip(s.ids[a : a + TILE].tolist(), s.found[a : a + TILE]) for m, v in found]
+                if any(not -(2**63) <= x[2] < 2**63 for x in rows):
+                    raise OverflowError("a score does not fit a long")
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k highest integer inner products with every other
-    vector of its length, ties to the smaller id; all of them if there are fewer.
+def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block: int = CANDIDATES, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k highest integer inner products of
+    floor(scale * x) with every other vector of its length, ties to the smaller id; all of them if
+    there are fewer.
+
+    Vectors are written once, in blocks of vertical layout. The queries come in groups that need at
+    most `query_bytes`; such a group is broadcast, every task takes it through the blocks it reads, and
+    gives k rows a query. Vectors are not shuffled, and no task grows with the table.
 
-    Both sides come in blocks of fixed size by hash; a block of queries meets a block of vectors in
-    one task, which keeps k rows a query. Nothing is broadcast and no task grows with the table.
+    Scores are exact: where sums of doubles might round (from 2**53 on), they only bound, and the
+    survivors are scored in whole numbers; a score that fits no long raises.
 
     Vectors that are null or hold a null or non-finite component, and null ids, take no part. A query
     skips every row of its own id. Repeated rows are found each; of a repeated query id each row's
-    vector asks, and the k best over all its rows and blocks stay. An empty table gives no rows.
+    vector asks, and the k best over all its rows stay. An empty table gives no rows; other columns
+    are ignored.
     """
-    rows = df.select(F.col(id_col).alias("id"), quantised(F.col(vector_col), scale).alias("v"), is_query.alias("q")).filter(F.col("v").isNotNull() & F.col("id").isNotNull())
-    n, n_q = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("q"), 1))).first()
-    blocks, q_blocks = max(1, -(-n // candidates)), max(1, -(-n_q // queries))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    theirs = F.pmod(F.xxhash64(F.lit(3), F.col("id")), F.lit(q_blocks)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = rows.filter("q").select("id", "v", F.lit(True).alias("ask"), theirs.alias("qb"), every(blocks).alias("cb"))
-    held = rows.select("id", "v", F.lit(False).alias("ask"), every(q_blocks).alias("qb"), own.alias("cb"))
-    near = asked.unionByName(held).groupBy("qb", "cb").applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n_q // queries))))
-    return near.groupBy(part).applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score long")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("ask"), F.col(vector_col).alias("x")).filter(takes_part(F.col("x")) & F.col("id").isNotNull())
+    made = stage(rows.mapInArrow(_blocks(scale, block), BLOCK), "vector-blocks")
+    # a row a block of queries: some thousandths of the queries' number
+    listed = made.filter("ask").groupBy("d", "key").agg(F.sum("n").alias("n")).orderBy("d", "key").collect()
+    spread = made.agg(F.max("most").alias("most"), F.max("d").alias("d")).first()
+    exact = (spread["most"] or 0.0) ** 2 * max(1, spread["d"] or 0) < 2.0**53
+    groups: list[list[int]] = []
+    room = 0
+    for r in listed:
+        need = r["n"] * (8 * r["d"] + 128 * k)
+        if not groups or need > room:
+            groups.append([])
+            room = query_bytes
+        groups[-1].append(r["key"])
+        room -= need
+    spark, held, out = df.sparkSession, made.filter("not ask"), None
+    for keys in groups:
+        asked: dict[int, list] = {}
+        for r in made.filter(F.col("ask") & F.col("key").isin(keys)).select("d", "n", "kind", "ids", "columns").collect():
+            asked.setdefault(r["d"], []).append(r.asDict())
+        near = held.mapInArrow(_searched(spark.sparkContext.broadcast(asked), k, exact), "query_id long, vec_id long, score long")
+        near = stage(near, "nearest") if len(groups) > 1 else near
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
