@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from . import ship
 from .functions.gear import gear_sql
 from .operators import chunking, cluster, report, sketch, store
-from .operators.codecs import CODECS
+from .operators.codecs import CODECS, block_indexes, edit_distances, triplet_indexes
 from .plans.scrub import ScrubConfig, measure, scrub
 from .sources.tables import document_streams, memory_streams, page_streams, stage, table
 
@@ -139,6 +139,16 @@ def clamped_chunks(spark, sf_dir):
     return back.select(F.col("stream_id").alias("page_id"), F.sha2(data, 256).alias("sha256"), F.octet_length(data).cast("long").alias("n_bytes"), (F.size(inner) == 0).alias("in_bounds"))
 
 
+def normalised_chunks(spark, sf_dir):
+    """Pages in chunks of two thresholds, put together again; how the sizes are bounded."""
+    ship(spark)
+    made = stage(chunking.normalised_chunks(page_streams(spark, sf_dir), 256, 1024, 4096), "normalised")
+    last = made.groupBy("stream_id").agg(F.max("chunk_no").alias("last"))
+    sized = made.join(last, "stream_id").groupBy("stream_id").agg(F.min((F.col("length") <= 4096) & ((F.col("length") >= 256) | (F.col("chunk_no") == F.col("last")))).alias("in_bounds"), F.sum("length").alias("n_bytes"))
+    back = store.joined(made)
+    return sized.join(back, "stream_id").select(F.col("stream_id").alias("page_id"), F.sha2("data", 256).alias("sha256"), "n_bytes", "in_bounds")
+
+
 # -- clusters ----------------------------------------------------------------------------------
 
 
@@ -148,7 +158,9 @@ def _spectral_units(spark, sf_dir) -> DataFrame:
 
 
 def eq_clusters(spark, sf_dir):
-    return spectral_sketch(spark, sf_dir).groupBy("sketch").agg(F.count(F.lit(1)).alias("n"))
+    """Documents of equal sketches: the first of each cluster and their number."""
+    sketched = spectral_sketch(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("ord"), "sketch")
+    return cluster.equal_clusters(sketched).groupBy("cluster_key").agg(F.min("ord").alias("first_doc_id"), F.count(F.lit(1)).alias("n")).drop("cluster_key")
 
 
 def islands(spark, sf_dir):
@@ -176,6 +188,11 @@ def leader_distance(spark, sf_dir):
     return cluster.leader_distances(_led(spark, sf_dir))
 
 
+def leader_distance_lists(spark, sf_dir):
+    """Distances of every leader to every other."""
+    return cluster.all_leader_distances(_led(spark, sf_dir)).select(F.col("a").alias("leader"), F.col("b").alias("other"), "distance")
+
+
 def cluster_report(spark, sf_dir):
     return cluster.cluster_report(_led(spark, sf_dir))
 
@@ -185,10 +202,47 @@ def parent_choice(spark, sf_dir):
     return chosen.select(F.col("ord").alias("doc_id"), F.col("cluster_key").alias("leader"), "is_parent")
 
 
+def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The store of the different texts under leader clusters, and the texts (chunk_id, ord, data)."""
+    units = stage(_units(spark, sf_dir), "units")
+    return scrub(units, ScrubConfig("spectral", "leader")).store, units
+
+
 def store_keys(spark, sf_dir):
-    chosen = store.parents(_led(spark, sf_dir))
-    number = F.row_number().over(Window.partitionBy("cluster_key", "is_parent").orderBy("ord")) - 1
-    return chosen.select(F.col("ord").alias("doc_id"), F.col("cluster_key").alias("leader"), F.when(F.col("is_parent"), "simple").otherwise("delta").alias("chunk_type"), number.cast("int").alias("number"))
+    """Store keys of the different texts: leaders in full, deltas numbered from 0 in order."""
+    kept, units = _stored(spark, sf_dir)
+    return kept.join(units.select("chunk_id", "ord"), "chunk_id").select(F.col("ord").alias("doc_id"), F.col("cluster_key").cast("long").alias("leader"), "chunk_type", "number")
+
+
+def store_get(spark, sf_dir):
+    """Look-ups by key, decoded: those of the even documents, and of keys that are not there."""
+    kept, units = _stored(spark, sf_dir)
+    keys = kept.join(units.select("chunk_id", "ord"), "chunk_id").filter(F.col("ord") % 2 == 0)
+    wanted = keys.select(*store.KEY).unionByName(keys.select("cluster_key", F.lit("delta").alias("chunk_type"), F.lit(-1).alias("number")).distinct())
+    got = store.get(kept, wanted).withColumn("sha256", F.sha2("data", 256))
+    return got.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.when(F.col("sha256").isNotNull(), F.col("n")))
+
+
+def store_contains(spark, sf_dir):
+    """How many keys of leaders and of first deltas the store has."""
+    kept, _ = _stored(spark, sf_dir)
+    keys = kept.select("cluster_key").distinct().select("cluster_key", F.explode(F.array(F.struct(F.lit("simple").alias("chunk_type"), F.lit(0).alias("number")), F.struct(F.lit("delta").alias("chunk_type"), F.lit(0).alias("number")))).alias("k"))
+    return store.contains(kept, keys.select("cluster_key", "k.*")).groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def probed_cells(spark, sf_dir):
+    """Free cells of a small table for the sketches of the different texts, some cells being taken."""
+    units = _spectral_units(spark, sf_dir).select("ord", (F.col("sketch") % 5000).alias("cell"))
+    taken = table(spark, sf_dir, "labels").select((F.col("doc_id") * 7 % 5000).alias("cell"))
+    return store.probe_cells(units, taken, 4999).select(F.col("ord").alias("doc_id"), "cell", F.col("at").alias("got"))
+
+
+def store_insert(spark, sf_dir):
+    """Leaders put in again with other data: their rows are replaced, the rest stays."""
+    kept, _ = _stored(spark, sf_dir)
+    again = kept.filter("role = 'leader'").withColumn("payload", F.encode(F.col("cluster_key"), "utf-8"))
+    after = store.merged(kept, again)
+    return after.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("payload") == F.encode("cluster_key", "utf-8"), 1)).alias("renewed"))
 
 
 def _gear_units(spark, sf_dir) -> DataFrame:
@@ -211,23 +265,43 @@ def eq_partial_clusters(spark, sf_dir):
 # -- codecs ------------------------------------------------------------------------------------
 
 
+def _indexed(made):
+    return made.select("doc_id", F.explode("made").alias("x")).select("doc_id", F.col("x.key"), F.col("x.n"))
+
+
 def adler_blocks(spark, sf_dir):
-    """Sums of 16-byte blocks and how many places have each, by sliding window sums."""
-    rows = chunking.byte_rows(_docs(spark, sf_dir), "doc_id", F.col("data"))
-    win = Window.partitionBy("doc_id").orderBy("i").rowsBetween(0, 15)
-    own = rows.withColumn("s", F.sum("v").over(win)).withColumn("t", F.sum(F.col("v") * F.col("i")).over(win)).withColumn("n", F.count(F.lit(1)).over(win)).filter("n = 16")
-    h = ((16 + F.col("i")) * F.col("s") - F.col("t") + 16) * 65536 + F.col("s") + 1
-    return own.select("doc_id", h.alias("hash")).groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    """Sums of 16-byte blocks and how many places have each."""
+    ship(spark)
+    return _indexed(block_indexes(_docs(spark, sf_dir).select("doc_id", "data"))).withColumnRenamed("key", "hash")
 
 
 def triplet_index(spark, sf_dir):
     """Three-byte keys and the number of their places, 1024 at most."""
-    digits = F.regexp_extract_all(F.hex("data"), F.lit("(..)"), F.lit(1))
-    d = _docs(spark, sf_dir).select("doc_id", digits.alias("d"))
-    n = F.greatest(F.size("d") - 2, F.lit(0))
-    x = F.zip_with(F.zip_with(F.slice("d", 1, n), F.slice("d", 2, n), lambda a, b: F.concat(a, b)), F.slice("d", 3, n), lambda a, b: F.concat(a, b))
-    keys = d.select("doc_id", F.explode(x).alias("x")).groupBy("doc_id", "x").agg(F.least(F.count(F.lit(1)), F.lit(1024)).alias("n"))
-    return keys.select("doc_id", F.conv("x", 16, 10).cast("long").alias("key"), "n")
+    ship(spark)
+    return _indexed(triplet_indexes(_docs(spark, sf_dir).select("doc_id", "data")))
+
+
+def edit_distance(spark, sf_dir):
+    """Distance of each clustered document from its parent, in bytes."""
+    units = stage(_units(spark, sf_dir), "units")
+    sketched = stage(sketch.sketches(units, "spectral").join(units.select("chunk_id", "ord"), "chunk_id"), "spectral")
+    chosen = store.parents(stage(cluster.leader_clusters(sketched), "led")).join(units.select("chunk_id", "data"), "chunk_id")
+    led = chosen.filter("is_parent").select("cluster_key", F.col("data").alias("a"))
+    return edit_distances(chosen.filter("NOT is_parent").join(led, "cluster_key").select(F.col("ord").alias("doc_id"), "a", F.col("data").alias("b")))
+
+
+def delta_sizes(spark, sf_dir):
+    """Deltas of every text of 200 bytes or more against itself with ten bytes overwritten, by the codecs
+    that find matches of any place: none may take over 100 bytes and a quarter of the text."""
+    ship(spark)
+    units = stage(_units(spark, sf_dir).filter(F.octet_length("data") >= 200), "units")
+    edited = F.concat(F.expr("substring(data, 1, 100)"), F.lit(b"##########"), F.expr("substring(data, 111)"))
+    out = None
+    for name in ("gdelta", "xdelta", "edit", "gdelta_zstd"):
+        made = store.coded(units.select("ord", F.octet_length("data").alias("n"), F.lit(name).alias("codec"), F.col("data").alias("parent"), edited.alias("data")), "encode")
+        own = made.select(F.col("ord").alias("doc_id"), F.lit(name).alias("codec"), (F.octet_length("made") <= 100 + F.col("n") / 4).alias("small"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def piece_index(spark, sf_dir):
@@ -279,7 +353,16 @@ def incremental_scrub(spark, sf_dir):
 def scrub_report(spark, sf_dir):
     units = stage(_units(spark, sf_dir), "units")
     logical = _docs(spark, sf_dir).agg(F.sum(F.octet_length("data"))).first()[0]
-    return report.scrub_report(scrub(units).store, logical)
+    return report.scrub_report(scrub(units).store, logical, units.agg(F.sum(F.octet_length("data"))).first()[0])
+
+
+def scrub_counts(spark, sf_dir):
+    """What of a scrub's report no codec decides: chunks, clusters, bytes and the ratio of exact dedup."""
+    kept, units = _stored(spark, sf_dir)
+    logical = _docs(spark, sf_dir).agg(F.sum(F.octet_length("data"))).first()[0]
+    made = report.scrub_report(kept, logical, units.agg(F.sum(F.octet_length("data"))).first()[0])
+    whole = made.withColumn("adds_up", (F.col("data_left") + F.col("target_bytes") == F.col("literal_bytes")) & (F.col("total_ratio") >= F.col("cdc_ratio")))
+    return whole.select("clusters", "chunks", "logical_bytes", "literal_bytes", "cdc_ratio", "adds_up")
 
 
 def measurement(spark, sf_dir):
@@ -299,6 +382,7 @@ _PLAIN = (
     gear_features_native, gear_superfeatures, gear_cut_points, gear_chunks, clamped_chunks, eq_clusters, islands, leader_clusters,
     cluster_sizes, member_distance, leader_distance, cluster_report, parent_choice, store_keys, similar_pairs, eq_partial_clusters,
     adler_blocks, triplet_index, piece_index, ddelta_plan, restore_documents, incremental_scrub, scrub_report, measurement,
+    normalised_chunks, leader_distance_lists, store_get, store_contains, store_insert, edit_distance, delta_sizes, scrub_counts, probed_cells,
 )
 
 
@@ -398,7 +482,27 @@ def oracle_sql() -> dict:
         "gear_cut_points": f"WITH {_BYTES}{_gear_sql(13, 16)} SELECT doc_id, i::BIGINT AS cut FROM g WHERE h = 4096 AND i > 0",
         "gear_chunks": f"WITH {_pieces_sql()} SELECT * FROM pieces",
         "clamped_chunks": "SELECT page_id, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS n_bytes, true AS in_bounds FROM pages",
-        "eq_clusters": f"WITH {_SKETCH} SELECT sketch, count(*)::BIGINT AS n FROM sk GROUP BY 1",
+        "eq_clusters": f"WITH {_SKETCH} SELECT min(doc_id) AS first_doc_id, count(*)::BIGINT AS n FROM sk GROUP BY sketch",
+        "normalised_chunks": "SELECT page_id, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS n_bytes, true AS in_bounds FROM pages",
+        "leader_distance_lists": f"WITH RECURSIVE {_LED}, k AS (SELECT DISTINCT leader FROM led) SELECT x.leader, y.leader AS other, abs(x.leader - y.leader)::BIGINT AS distance FROM k x, k y WHERE x.leader <> y.leader",
+        "store_get": f"WITH RECURSIVE {_LED} SELECT sha256(text) AS sha256, 1::BIGINT AS n FROM led JOIN documents ON doc_id = ord WHERE ord % 2 = 0 UNION ALL SELECT NULL, NULL",
+        "store_contains": f"WITH RECURSIVE {_LED}, s AS (SELECT leader, count(*) AS n FROM led GROUP BY 1) SELECT 'simple' AS chunk_type, count(*)::BIGINT AS n FROM s HAVING count(*) > 0 UNION ALL SELECT 'delta', count(*)::BIGINT FROM s WHERE n > 1 HAVING count(*) > 0",
+        "store_insert": f"WITH RECURSIVE {_LED}, p AS (SELECT ord = min(ord) OVER (PARTITION BY leader) AS leads FROM led) SELECT CASE WHEN leads THEN 'simple' ELSE 'delta' END AS chunk_type, count(*)::BIGINT AS n, count(*) FILTER (leads)::BIGINT AS renewed FROM p GROUP BY 1",
+        "probed_cells": f"""WITH RECURSIVE {_SKETCH},
+firsts AS (SELECT min(doc_id) AS ord FROM documents GROUP BY text),
+seq AS MATERIALIZED (SELECT ord, sketch % 5000 AS cell, row_number() OVER (ORDER BY ord) AS rn FROM firsts JOIN sk ON doc_id = ord),
+st(rn, used, ord, cell, got) AS (
+  SELECT 0::BIGINT, (SELECT list(DISTINCT doc_id * 7 % 5000) FROM labels)::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::BIGINT
+  UNION ALL
+  SELECT n.rn, list_append(n.used, n.got), n.ord, n.cell, n.got
+  FROM (SELECT seq.rn, st.used, seq.ord, seq.cell,
+               list_filter(list_transform(range(0, 4000), lambda k: seq.cell + CASE WHEN k % 2 = 1 THEN (k + 1) // 2 ELSE -(k // 2) END), lambda c: c >= 0 AND c <= 4999 AND NOT list_contains(st.used, c))[1] AS got
+        FROM st JOIN seq ON seq.rn = st.rn + 1) n)
+SELECT ord AS doc_id, cell::BIGINT AS cell, got FROM st WHERE rn > 0""",
+        "edit_distance": f"WITH RECURSIVE {_LED}, p AS (SELECT ord, min(ord) OVER (PARTITION BY leader) AS parent FROM led) SELECT p.ord AS doc_id, levenshtein(a.text, b.text)::BIGINT AS distance FROM p JOIN documents a ON a.doc_id = parent JOIN documents b ON b.doc_id = ord WHERE ord <> parent",
+        "delta_sizes": "SELECT min(doc_id) AS doc_id, codec, true AS small FROM documents, (VALUES ('gdelta'), ('xdelta'), ('edit'), ('gdelta_zstd')) c(codec) WHERE octet_length(encode(text)) >= 200 GROUP BY text, codec",
+        "scrub_counts": f"WITH RECURSIVE {_LED}, d AS (SELECT any_value(octet_length(encode(text))) AS l, count(*) AS n FROM documents GROUP BY text) SELECT (SELECT count(DISTINCT leader) FROM led)::BIGINT AS clusters, count(*)::BIGINT AS chunks, sum(l * n)::BIGINT AS logical_bytes, sum(l)::BIGINT AS literal_bytes, round(sum(l * n) / sum(l), 6) AS cdc_ratio, true AS adds_up FROM d",
+        "measurement": "WITH c AS (SELECT least(64 << 10, (10 << 20) - a) AS length FROM range(0, 10 << 20, 64 << 10) r(a)) SELECT (sum(length) / max(length))::DOUBLE AS cdc_dedup_ratio, (sum(length) / max(length))::DOUBLE AS total_dedup_ratio FROM c",
         "islands": f"WITH {_SKETCH}, k AS (SELECT DISTINCT sketch FROM sk), l AS (SELECT sketch, sketch - coalesce(lag(sketch) OVER (ORDER BY sketch), -100) > 10 AS head FROM k) SELECT sketch, max(CASE WHEN head THEN sketch END) OVER (ORDER BY sketch) AS island FROM l",
         "leader_clusters": f"WITH RECURSIVE {_LED} SELECT ord AS doc_id, leader FROM led",
         "cluster_sizes": f"WITH RECURSIVE {_LED} SELECT leader, count(*)::BIGINT AS size FROM led GROUP BY 1",

@@ -45,6 +45,35 @@ def clamped_ends(data: bytes, least: int, average: int, most: int) -> np.ndarray
     return np.array(out, dtype=np.int64)
 
 
+def normalised_ends(data: bytes, least: int, average: int, most: int, level: int = 2) -> np.ndarray:
+    """Ends by two thresholds: up to the average size boundaries are 2**level times rarer than one in
+    `average`, after it as much more frequent, so sizes gather around the average. Where none comes up
+    to `most`, the last place four times as easy ends the chunk, and only without one the size does."""
+    if not 0 < least <= average <= most or level < 0:
+        raise ValueError("sizes must be positive and ascending")
+    x = as_array(data)
+    h = rolling(x, 32) if len(x) else x.astype(np.uint32)
+    below = lambda share: np.flatnonzero(h < np.uint32(min(2**32 - 1, int(2**32 * share)))) + 1
+    hard, easy, spare = below(2.0**-level / average), below(min(1.0, 2.0**level / average)), below(min(1.0, 4 * 2.0**level / average))
+    out, at = [], 0
+    while len(x) - at > least:
+        middle, end = min(at + average, len(x)), min(at + most, len(x))
+        k = int(np.searchsorted(hard, at + least))
+        if k < len(hard) and hard[k] <= middle:
+            nxt = int(hard[k])
+        else:
+            k = int(np.searchsorted(easy, max(at + least, middle + 1)))
+            nxt = int(easy[k]) if k < len(easy) and easy[k] <= end else end
+            if nxt == end == at + most:
+                j = int(np.searchsorted(spare, end, side="right")) - 1
+                nxt = int(spare[j]) if j >= 0 and spare[j] >= at + least else end
+        out.append(nxt)
+        at = nxt
+    if len(x) and (not out or out[-1] < len(x)):
+        out.append(len(x))
+    return np.array(out, dtype=np.int64)
+
+
 def _chunker(ends_of):
     def run(batches):
         for batch in batches:
@@ -76,6 +105,13 @@ def clamped_chunks(streams: DataFrame, least: int = 2048, average: int = 8192, m
     return streams.select("stream_id", "data").mapInArrow(_chunker(lambda d: clamped_ends(d, least, average, most)), CHUNKS)
 
 
+def normalised_chunks(streams: DataFrame, least: int = 2048, average: int = 8192, most: int = 16384, level: int = 2) -> DataFrame:
+    """Chunks of bounded size that gather around the average."""
+    if not 0 < least <= average <= most or level < 0:
+        raise ValueError("sizes must be positive and ascending")
+    return streams.select("stream_id", "data").mapInArrow(_chunker(lambda d: normalised_ends(d, least, average, most, level)), CHUNKS)
+
+
 def byte_rows(df: DataFrame, id_col: str, data: Column) -> DataFrame:
     """id_col, i, v: a row a byte, by built-ins."""
     digits = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))

@@ -7,14 +7,15 @@ tie is the lowest `ord`.
 from __future__ import annotations
 
 import bisect
+from itertools import combinations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import stage
-from .graph import greedy_leaders
+from .graph import PASS, greedy_leaders
 
 WIDTH = 10
 
@@ -25,19 +26,22 @@ def equal_clusters(sketched: DataFrame, key: str = "sketch") -> DataFrame:
 
 
 def similar_pairs(keys: DataFrame, least: int) -> DataFrame:
-    """a, b, shared: pairs of keys (key, features) with equal features at `least` places or more.
+    """a, b, shared: pairs of keys (key, features) with equal features at `least` places or more; a < b.
 
-    An equi-join on (place, value) over different keys only, so copies of a sketch cost nothing;
-    a < b. For `least` = 1 and up; no pair of keys without a common value is ever formed.
+    An equi-join on (place, value) over different keys only, so copies of a sketch cost nothing; no
+    pair of keys without a common value is ever formed. It lists all pairs, which a value of n keys
+    has n * (n - 1) / 2 of: a report for reading. The clusterer does without (see `partial_clusters`).
     """
     each = keys.select("key", F.posexplode("features").alias("pos", "value"))
     return each.alias("x").join(each.alias("y"), (F.col("x.pos") == F.col("y.pos")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.key") < F.col("y.key"))).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
-def partial_clusters(sketched: DataFrame, features: str = "super_features", mismatches: int = 6) -> DataFrame:
+def partial_clusters(sketched: DataFrame, features: str = "super_features", mismatches: int = 6, bound: int = PASS) -> DataFrame:
     """chunk_id, ord, cluster_key: equal sketches first; another joins the earliest cluster whose key
     has fewer than `mismatches` differing places, else it starts one. mismatches 0 or 1: equality.
 
+    Keys with equal values at `least` places share a token for one of the sets of `least` places, of
+    which six places have 20 at most; so no pair of similar keys is written, however many share a value.
     Sketches without features (no sampled place) are one cluster.
     """
     keyed = sketched.withColumn("key", F.sha2(F.coalesce(F.concat_ws(",", features), F.lit("")), 256))
@@ -46,8 +50,10 @@ def partial_clusters(sketched: DataFrame, features: str = "super_features", mism
     if mismatches <= 1:
         return keyed.select("chunk_id", "ord", F.col("key").alias("cluster_key"))
     n = keys.select(F.max(F.size("features"))).first()[0] or 0
-    edges = similar_pairs(keys.filter(F.col("features").isNotNull()), max(1, n - mismatches + 1))
-    led = greedy_leaders(keys.select(F.col("key").alias("node"), "ord"), edges.select("a", "b"))
+    least = max(1, n - mismatches + 1)
+    sets = [F.sha2(F.concat_ws(",", F.lit(",".join(map(str, at))), *(F.get("features", F.lit(i)) for i in at)), 256) for at in combinations(range(n), least)]
+    tokens = keys.filter(F.col("features").isNotNull()).select(F.col("key").alias("node"), F.explode(F.array(*sets)).alias("token")) if sets else keys.select(F.col("key").alias("node"), F.lit("").alias("token")).limit(0)
+    led = greedy_leaders(keys.select(F.col("key").alias("node"), "ord"), tokens, bound)
     return keyed.join(led.select(F.col("node").alias("key"), F.col("leader").alias("cluster_key")), "key").select("chunk_id", "ord", "cluster_key")
 
 
@@ -73,48 +79,94 @@ def islands(keys: DataFrame, width: int = WIDTH, parts: int = 64) -> DataFrame:
     return k.join(F.broadcast(e.select("range", "first", "goes_on")), "range").select("sketch", F.when((F.col("local") == F.col("first")) & F.col("goes_on").isNotNull(), F.col("goes_on")).otherwise(F.col("local")).alias("island"))
 
 
-def leaders_of(members: list[tuple[int, int]], width: int) -> list[int]:
-    """Leader of each (ord, sketch), by rising ord: the nearest leader within width, the smaller of
-    two as near, else the sketch itself."""
-    out, led = [], []
-    for _, s in members:
-        i = bisect.bisect_left(led, s)
-        near = [(abs(x - s), x) for x in led[max(0, i - 1) : i + 1] if abs(x - s) <= width]
-        if near:
-            out.append(min(near)[1])
-        else:
-            led.insert(i, s)
-            out.append(s)
-    return out
+def ranges(rows: int) -> int:
+    """Ranges of the 32-bit space for so many sketches: some thousands each, 2**20 at most."""
+    return max(64, min(1 << 20, rows // 10_000))
 
 
-def leader_clusters(sketched: DataFrame, width: int = WIDTH, known: DataFrame | None = None) -> DataFrame:
-    """chunk_id, ord, sketch, cluster_key: greedy one-dimensional leader clustering.
+def _led(width: int):
+    """Rows (island, sketch), by island and ord -> the leaders of an ordered pass."""
 
-    Leaders are more than `width` apart, so sketches of different islands never meet: islands of one
-    sketch are led by it at once, the others go island by island through an ordered pass. `known`
-    (leader) are leaders of earlier runs, which come before all.
+    def run(batches):
+        island, led = None, []
+        for batch in batches:
+            new = []
+            for i, s in zip(batch["island"].to_pylist(), batch["sketch"].to_pylist()):
+                if i != island:
+                    island, led = i, []
+                at = bisect.bisect_left(led, s)
+                if all(abs(x - s) > width for x in led[max(0, at - 1) : at + 1]):
+                    led.insert(at, s)
+                    new.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64())], names=["sketch"])
+
+    return run
+
+
+def _buckets(width: int, sketch: str = "sketch"):
+    """The cell of a sketch and the two beside it: cells are width + 1 wide, so they hold all within
+    `width`, and a cell holds one leader at most."""
+    cell = F.floor(F.col(sketch) / (width + 1))
+    return F.explode(F.array(cell - 1, cell, cell + 1))
+
+
+def leader_clusters(sketched: DataFrame, width: int = WIDTH, known: DataFrame | None = None, bound: int = PASS) -> DataFrame:
+    """chunk_id, ord, sketch, cluster_key: greedy one-dimensional leader clustering: in order of `ord`
+    (any type that sorts), each chunk joins the nearest leader within `width` (the smaller of two as
+    near) or leads. `known` (leader) are leaders of earlier runs, which come before all.
+
+    Leaders first: only a sketch's first occurrence can lead, and does if no leader is within width.
+    Every round, of each island of open sketches (runs with gaps of at most `width`) the first `bound`
+    go through an ordered pass; where an island is larger, the first sketch of each cell that no open
+    neighbour precedes leads as well. What is within `width` of a leader is closed, and the rest falls
+    into smaller islands, until none is open. No island is gathered beyond `bound`.
+
+    Then each chunk picks among the leaders of its cell's surroundings, three at most, that were there
+    before it; a sketch's repeats may thus be led differently.
     """
     if width < 0:
         raise ValueError("width must not be negative")
-    rows = sketched.select("chunk_id", F.col("ord").cast("long").alias("ord"), "sketch")
+    ord_type = sketched.schema["ord"].dataType.simpleString()
+    open_ = stage(sketched.groupBy("sketch").agg(F.min("ord").alias("ord")), "open-sketches")
+    firsts = open_
+    leaders = []
     if known is not None:
-        rows = rows.unionByName(known.select(F.lit(None).cast(sketched.schema["chunk_id"].dataType).alias("chunk_id"), F.lit(None).cast("long").alias("ord"), F.col("leader").alias("sketch")))
-    # a sketch's repeats may be led differently (a nearer leader may have come between), so all rows of
-    # an island of several sketches go through the pass; copies were merged before by digest
-    isle = islands(rows, width)
-    n = isle.groupBy("island").agg(F.count(F.lit(1)).alias("n"))
-    placed = rows.join(isle, "sketch").join(n, "island")
-    single = placed.filter("n = 1").select("chunk_id", "ord", "sketch", F.col("sketch").alias("cluster_key"))
-    id_type = sketched.schema["chunk_id"].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(o=rows["ord"].fillna(-1)).sort_values(["o", "sketch"], kind="stable")
-        led = leaders_of(list(zip(rows["o"], rows["sketch"].astype(int))), width)
-        return rows.assign(cluster_key=led)[["chunk_id", "ord", "sketch", "cluster_key"]]
-
-    several = placed.filter("n > 1").groupBy("island").applyInPandas(run, f"chunk_id {id_type}, ord long, sketch long, cluster_key long")
-    return single.unionByName(several).filter("ord IS NOT NULL")
+        leaders.append(known.select(F.col("leader").cast("long").alias("sketch")).distinct().withColumn("ord", F.lit(None).cast(ord_type)))
+        open_ = stage(_uncovered(open_, leaders[0], width), "open-sketches")
+    while left := open_.count():
+        parts = ranges(left)
+        isle = open_.join(islands(open_, width, parts), "sketch")
+        ordered = isle.withColumn("n", F.row_number().over(Window.partitionBy("island").orderBy("ord"))).filter(F.col("n") <= bound)
+        ordered = ordered.repartition("island").sortWithinPartitions("island", "ord").select("island", "sketch")
+        new = ordered.mapInArrow(_led(width), "sketch long")
+        if left > bound:
+            cell = F.floor(F.col("sketch") / (width + 1))
+            heads = open_.groupBy(cell.alias("cell")).agg(F.min(F.struct("ord", "sketch")).alias("h"))
+            around = open_.select("sketch", "ord", _buckets(width).alias("cell")).join(heads, "cell")
+            blocked = F.max((F.col("ord") < F.col("h.ord")) & (F.abs(F.col("sketch") - F.col("h.sketch")) <= width))
+            new = new.unionByName(around.groupBy(F.col("h.sketch").alias("sketch")).agg(blocked.alias("b")).filter("NOT b").select("sketch")).distinct()
+        new = stage(new.join(firsts, "sketch").select("sketch", "ord"), "new-leaders")
+        leaders.append(new)
+        open_ = stage(_uncovered(open_, new, width), "open-sketches")
+    if not leaders:
+        return sketched.select("chunk_id", "ord", "sketch", F.col("sketch").alias("cluster_key"))
+    every = leaders[0]
+    for x in leaders[1:]:
+        every = every.unionByName(x)
+    # three leaders a cell at most, and as many known ones
+    near = every.select(F.struct(F.col("sketch").alias("l"), F.col("ord").alias("o")).alias("x"), _buckets(width).alias("cell")).groupBy("cell").agg(F.collect_list("x").alias("near"))
+    rows = sketched.select("chunk_id", "ord", "sketch", F.floor(F.col("sketch") / (width + 1)).alias("cell")).join(near, "cell")
+    there = F.filter("near", lambda x: (F.abs(x["l"] - F.col("sketch")) <= width) & (x["o"].isNull() | (x["o"] <= F.col("ord"))))
+    best = F.array_min(F.transform(there, lambda x: F.struct(F.abs(x["l"] - F.col("sketch")), x["l"].alias("l"))))
+    return rows.select("chunk_id", "ord", "sketch", best["l"].alias("cluster_key"))
+
+
+def _uncovered(open_: DataFrame, leaders: DataFrame, width: int) -> DataFrame:
+    """The open sketches that are farther than `width` from all leaders."""
+    near = leaders.select(F.col("sketch").alias("l"), _buckets(width).alias("cell"))
+    cell = F.floor(F.col("sketch") / (width + 1))
+    hit = open_.select("sketch", cell.alias("cell")).join(near, "cell").filter(F.abs(F.col("sketch") - F.col("l")) <= width)
+    return open_.join(hit.select("sketch").distinct(), "sketch", "left_anti")
 
 
 def cluster_sizes(assigned: DataFrame) -> DataFrame:
@@ -140,13 +192,15 @@ def leader_distances(assigned: DataFrame, parts: int = 64) -> DataFrame:
     return near.select("leader", (F.col("leader") - F.coalesce("b", "before")).alias("below"), (F.coalesce("a", "after") - F.col("leader")).alias("above"))
 
 
-def all_leader_distances(assigned: DataFrame, most: int = 2000) -> DataFrame:
-    """a, b, distance of all ordered pairs of leaders: quadratic, so only up to `most` leaders."""
-    led = assigned.select(F.col("cluster_key").alias("leader")).distinct()
-    if led.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} leaders; use leader_distances")
-    a, b = led.select(F.col("leader").alias("a")), led.select(F.col("leader").alias("b"))
-    return a.join(F.broadcast(b), F.col("a") != F.col("b")).withColumn("distance", F.abs(F.col("a") - F.col("b")))
+def all_leader_distances(assigned: DataFrame, block: int = 2048) -> DataFrame:
+    """a, b, distance of all ordered pairs of leaders: quadratic in its result. The leaders come in
+    blocks, and each pair of blocks meets in a task of its own; none is broadcast."""
+    led = stage(assigned.select(F.col("cluster_key").alias("leader")).distinct(), "leaders")
+    n = max(1, -(-led.count() // block))
+    every, own = F.explode(F.sequence(F.lit(0), F.lit(n - 1))), F.pmod(F.xxhash64("leader"), F.lit(n)).cast("int")
+    a = led.select(F.col("leader").alias("a"), own.alias("i"), every.alias("j"))
+    b = led.select(F.col("leader").alias("b"), every.alias("i"), own.alias("j"))
+    return a.join(b, ["i", "j"]).filter("a <> b").select("a", "b", F.abs(F.col("a") - F.col("b")).alias("distance"))
 
 
 def cluster_report(assigned: DataFrame) -> DataFrame:

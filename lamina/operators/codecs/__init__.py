@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 
 from . import copyinsert, cursor, edits
 
@@ -47,3 +49,36 @@ def codec(name: str) -> Codec:
     if name not in CODECS:
         raise ValueError(f"unknown codec {name!r}; one of {', '.join(sorted(CODECS))}")
     return CODECS[name]
+
+
+def _mapped(f, columns: list[str], kind: pa.DataType):
+    def run(batches):
+        for batch in batches:
+            made = [f(*(x or b"" for x in row)) for row in zip(*(batch[c].to_pylist() for c in columns))]
+            rest = [n for n in batch.schema.names if n not in columns]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), pa.array(made, kind)], names=[*rest, "made"])
+
+    return run
+
+
+def by_row(df: DataFrame, f: Callable, columns: list[str], kind: str, arrow: pa.DataType) -> DataFrame:
+    """df without the binary `columns`, plus `made`: f of them, null taken as empty. A narrow map."""
+    rest = "".join(f"{x.name} {x.dataType.simpleString()}, " for x in df.schema if x.name not in columns)
+    return df.mapInArrow(_mapped(f, columns, arrow), f"{rest}made {kind}")
+
+
+def edit_distances(pairs: DataFrame) -> DataFrame:
+    """pairs (…, a, b) -> (…, distance): bytes replaced, added and deleted at least."""
+    return by_row(pairs, edits.distance, ["a", "b"], "long", pa.int64()).withColumnRenamed("made", "distance")
+
+
+def block_indexes(rows: DataFrame) -> DataFrame:
+    """rows (…, data) -> (…, made): block sums of 16 bytes and the number of their places."""
+    f = lambda d: [{"key": k, "n": len(at)} for k, at in copyinsert.block_index(d).items()]
+    return by_row(rows, f, ["data"], "array<struct<key:long,n:long>>", pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))
+
+
+def triplet_indexes(rows: DataFrame) -> DataFrame:
+    """rows (…, data) -> (…, made): three-byte keys and the number of their places that are kept."""
+    f = lambda d: [{"key": int.from_bytes(k, "big"), "n": len(at)} for k, at in cursor.triplet_index(d).items()]
+    return by_row(rows, f, ["data"], "array<struct<key:long,n:long>>", pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))

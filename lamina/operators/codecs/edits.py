@@ -4,11 +4,15 @@ places stay those of the parent."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+
 from .copyinsert import common
 
 GAP, PLACES = 4000, 1 << 22
-#: Distances beyond this are not sought; the chunk is stored in full.
-MOST = 512
+#: Distances up to this are found edit by edit, larger ones by halving; the scripts are as short.
+NEAR = 48
 
 
 def trimmed(a: bytes, b: bytes) -> tuple[int, int]:
@@ -61,16 +65,75 @@ def script(a: bytes, b: bytes, most: int) -> list[tuple[int, int, int]] | None:
     return out
 
 
+def _column(a: bytes, b: bytes) -> np.ndarray:
+    """Distances from each head of a (the empty one first) to all of b.
+
+    A column of the table of distances is kept as two sets of bits, where it rises and where it falls
+    by one from row to row, and moves on a byte of b at a time by arithmetic on whole numbers of
+    len(a) bits: len(a) * len(b) / 64 steps, memory for one column."""
+    n, full = len(a), (1 << len(a)) - 1
+    at: dict[int, int] = {}
+    x = np.frombuffer(a, dtype=np.uint8)
+    for c in set(a):
+        at[c] = int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little")
+    up, down = full, 0
+    for c in b:
+        equal = at.get(c, 0)
+        keep = equal | down
+        carry = ((((equal & up) + up) & full) ^ up) | equal
+        rise, fall = down | (full & ~(carry | up)), up & carry
+        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(keep | rise)), rise & keep
+    bits = lambda v: np.unpackbits(np.frombuffer(v.to_bytes(n // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[:n].astype(np.int64)
+    return np.concatenate([[len(b)], len(b) + np.cumsum(bits(up) - bits(down))])
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Least number of replaced, added and deleted bytes between a and b."""
+    head, tail = trimmed(a, b)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    return int(_column(a, b)[-1])
+
+
+def _least(a: bytes, b: bytes) -> int:
+    """A bound that no distance is under: by lengths and by the bytes' counts."""
+    x, y = Counter(a), Counter(b)
+    return max((x - y).total(), (y - x).total())
+
+
+def halved(a: bytes, b: bytes) -> list[tuple[int, int, int]]:
+    """A shortest script of any length in memory for one column: b is halved, and a is cut where the
+    distances of the two parts add up to the least."""
+    head, tail = trimmed(a, b)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a:
+        return [(1, c, head) for c in reversed(b)]
+    if not b:
+        return [(2, 0, head + i) for i in range(len(a) - 1, -1, -1)]
+    if (made := script(a, b, NEAR)) is not None:
+        return [(action, c, head + i) for action, c, i in made]
+    if len(b) == 1:  # a has no b, or keeps one and loses the rest
+        keep = a.find(b)
+        return [(2, 0, head + i) if i else (0, b[0], head) for i in range(len(a) - 1, -1, -1)] if keep < 0 else [(2, 0, head + i) for i in range(len(a) - 1, -1, -1) if i != keep]
+    half = len(b) // 2
+    cut = int(np.argmin(_column(a, b[:half]) + _column(a[::-1], b[half:][::-1])[::-1]))
+    return [(action, c, head + cut + i) for action, c, i in halved(a[cut:], b[half:])] + [(action, c, head + i) for action, c, i in halved(a[:cut], b[:half])]
+
+
 def encode(parent: bytes, target: bytes) -> bytes | None:
-    """None if the lengths differ by over GAP, the script would not be shorter than the target, or the
-    distance is over MOST."""
+    """None if the lengths differ by over GAP, or if the script, of 4 bytes an edit, and 4 bytes more
+    would be longer than the target."""
     if abs(len(parent) - len(target)) > GAP:
         return None
     head, tail = trimmed(parent, target)
     a, b = parent[head : len(parent) - tail], target[head : len(target) - tail]
-    most = min(MOST, (len(target) - 4) // 4)
-    made = script(a, b, most) if most >= 0 else None
-    if made is None or head + len(a) >= PLACES:
+    most = (len(target) - 4) // 4
+    if most < 0 or head + len(a) >= PLACES or _least(a, b) > most:
+        return None
+    made = script(a, b, min(NEAR, most))
+    if made is None and most > NEAR and int(_column(a, b)[-1]) <= most:
+        made = halved(a, b)
+    if made is None:
         return None
     return b"".join((action << 30 | byte << 22 | head + at).to_bytes(4, "big") for action, byte, at in made)
 

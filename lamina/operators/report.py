@@ -17,13 +17,18 @@ def dedup_bytes(chunks: DataFrame, by: tuple = ()) -> DataFrame:
     return each.groupBy(*by).agg(F.sum("all").cast("long").alias("logical_bytes"), F.sum("one").cast("long").alias("unique_bytes"))
 
 
-def scrub_report(store: DataFrame, logical_bytes: int) -> DataFrame:
-    """One row: data_left (bytes of chunks in full), processed_data (bytes of deltas), clusters, chunks,
-    cdc_ratio and total_ratio are logical bytes over unique and over stored bytes."""
+def scrub_report(store: DataFrame, logical_bytes: int, unique_bytes: int) -> DataFrame:
+    """One row: data_left (bytes of chunks in full), processed_data (bytes of deltas), target_bytes (of
+    the chunks that those deltas stand for), literal_bytes (of all different chunks that came in),
+    clusters, chunks; cdc_ratio and total_ratio: logical bytes over the unique and over the stored
+    bytes, null without any."""
     size = F.octet_length("payload")
     s = store.agg(
         F.coalesce(F.sum(F.when(F.col("chunk_type") == "simple", size)), F.lit(0)).cast("long").alias("data_left"),
         F.coalesce(F.sum(F.when(F.col("chunk_type") == "delta", size)), F.lit(0)).cast("long").alias("processed_data"),
         F.count(F.when(F.col("role") == "leader", 1)).alias("clusters"), F.count(F.lit(1)).alias("chunks"),
     )
-    return s.withColumn("logical_bytes", F.lit(logical_bytes).cast("long")).withColumn("total_ratio", F.round(F.col("logical_bytes") / (F.col("data_left") + F.col("processed_data")), 6))
+    s = s.withColumn("logical_bytes", F.lit(logical_bytes).cast("long")).withColumn("literal_bytes", F.lit(unique_bytes).cast("long"))
+    s = s.withColumn("target_bytes", F.col("literal_bytes") - F.col("data_left"))
+    ratio = lambda n: F.round(F.try_divide(F.col("logical_bytes"), n), 6)
+    return s.withColumn("cdc_ratio", ratio(F.col("literal_bytes"))).withColumn("total_ratio", ratio(F.col("data_left") + F.col("processed_data")))

@@ -8,10 +8,12 @@ are numbered from 0. Deltas decode against their cluster's leader, so the depth
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import stage
 from .codecs import codec
 
 COLUMNS = ("cluster_key", "chunk_type", "number", "role", "codec", "chunk_id", "payload")
@@ -46,22 +48,21 @@ def parents(assigned: DataFrame, store: DataFrame | None = None) -> DataFrame:
     return out.select("chunk_id", "ord", "cluster_key", "is_parent")
 
 
-def _coder(name: str, way: str):
+def _coder(way: str):
     def run(batches):
-        f = getattr(codec(name), way)
         for batch in batches:
-            made = [None if p is None or d is None else f(p, d) for p, d in zip(batch["parent"].to_pylist(), batch["data"].to_pylist())]
-            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("parent", "data")]
-            names = [n for n in batch.schema.names if n not in ("parent", "data")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.binary())], names=[*names, "made"])
+            rows = zip(batch["codec"].to_pylist(), batch["parent"].to_pylist(), batch["data"].to_pylist())
+            made = [d if n is None else None if p is None or d is None else getattr(codec(n), way)(p, d) for n, p, d in rows]
+            names = [n for n in batch.schema.names if n not in ("parent", "data", "codec")]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(made, pa.binary())], names=[*names, "made"])
 
     return run
 
 
-def _coded(df: DataFrame, name: str, way: str) -> DataFrame:
-    """df (…, parent, data) -> (…, made)."""
-    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name not in ("parent", "data"))
-    return df.mapInArrow(_coder(name, way), f"{rest}, made binary")
+def coded(df: DataFrame, way: str) -> DataFrame:
+    """df (…, codec, parent, data) -> (…, made); without a codec, the data itself."""
+    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name not in ("parent", "data", "codec"))
+    return df.mapInArrow(_coder(way), f"{rest}, made binary")
 
 
 def encode(assigned: DataFrame, chunks: DataFrame, name: str = "gdelta", store: DataFrame | None = None, shrink_only: bool = False) -> DataFrame:
@@ -77,7 +78,7 @@ def encode(assigned: DataFrame, chunks: DataFrame, name: str = "gdelta", store:
     if store is not None:
         led = led.unionByName(store.filter("role = 'leader'").select("cluster_key", F.col("payload").alias("parent")))
     members = whole.filter("NOT is_parent").join(led, "cluster_key")
-    made = _coded(members.select("cluster_key", "chunk_id", "ord", F.col("data").alias("raw"), "parent", "data"), name, "encode")
+    made = coded(members.select("cluster_key", "chunk_id", "ord", F.col("data").alias("raw"), F.lit(name).alias("codec"), "parent", "data"), "encode")
     if shrink_only:
         made = made.withColumn("made", F.when(F.octet_length("made") < F.octet_length("raw"), F.col("made")))
     made = made.withColumn("chunk_type", F.when(F.col("made").isNull(), "simple").otherwise("delta"))
@@ -92,33 +93,51 @@ def encode(assigned: DataFrame, chunks: DataFrame, name: str = "gdelta", store:
     return leaders.unionByName(rows)
 
 
-def decode(rows: DataFrame, store: DataFrame) -> DataFrame:
-    """chunk_id, data of store rows: simple chunks as they are, deltas decoded against their leader.
-    A delta whose leader is missing raises."""
-    simple = rows.filter("chunk_type = 'simple'").select("chunk_id", F.col("payload").alias("data"))
+def decode(rows: DataFrame, store: DataFrame, keep: tuple = ("chunk_id",)) -> DataFrame:
+    """chunk_id (or the columns of `keep`), data of store rows: simple chunks as they are, deltas
+    decoded against their leader, each row by its own codec. A delta whose leader is missing raises."""
     led = store.filter("role = 'leader'").select("cluster_key", F.col("payload").alias("parent"))
+    simple = rows.filter("chunk_type = 'simple'").select(*keep, F.col("payload").alias("data"))
     deltas = rows.filter("chunk_type = 'delta'").join(led, "cluster_key", "left")
     deltas = deltas.withColumn("parent", F.coalesce("parent", F.raise_error(F.concat(F.lit("no leader for "), "cluster_key")).cast("binary")))
-    out = simple
-    for name in [r["codec"] for r in rows.filter("codec IS NOT NULL").select("codec").distinct().collect()]:
-        own = deltas.filter(F.col("codec") == name).select("chunk_id", "parent", F.col("payload").alias("data"))
-        out = out.unionByName(_coded(own, name, "decode").withColumnRenamed("made", "data"))
-    return out
+    return simple.unionByName(coded(deltas.select(*keep, "codec", "parent", F.col("payload").alias("data")), "decode").withColumnRenamed("made", "data"))
 
 
 def get(store: DataFrame, keys: DataFrame) -> DataFrame:
     """cluster_key, chunk_type, number, data for keys; an unknown key has null data."""
-    found = keys.join(store, list(KEY), "left")
-    data = decode(found.filter(F.col("chunk_id").isNotNull()), store)
-    return found.select(*KEY, "chunk_id").join(data, "chunk_id", "left").select(*KEY, "data")
+    data = decode(store.join(keys.select(*KEY).distinct(), list(KEY), "left_semi"), store, KEY)
+    return keys.join(data, list(KEY), "left").select(*KEY, "data")
 
 
 def contains(store: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(store.select(*KEY), list(KEY), "left_semi")
 
 
+def merged(store: DataFrame, rows: DataFrame) -> DataFrame:
+    """The store with rows put in: a row of a key that it has takes that row's place. rows: one a key."""
+    return store.join(rows.select(*KEY), list(KEY), "left_anti").select(*COLUMNS).unionByName(rows.select(*COLUMNS))
+
+
+def insert(rows: DataFrame, path: str) -> None:
+    """Put rows into the store at path; keys that it has get the new rows. Where no key is there
+    already, rows are only appended; else the store is written anew from a staged copy."""
+    spark = rows.sparkSession
+    rows = stage(rows.select(*COLUMNS), "inserted")
+    try:
+        old = read(spark, path)
+        again = bool(contains(old, rows).limit(1).count())
+    except AnalysisException as e:  # nothing stored yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        again = False
+    if again:
+        write(stage(merged(old, rows), "merged"), path, "overwrite")
+    else:
+        write(rows, path)
+
+
 def write(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Insert rows; mode overwrite replaces the store."""
+    """Write rows as they are; mode overwrite replaces the store."""
     rows.select(*COLUMNS).write.mode(mode).partitionBy("chunk_type").parquet(path)
 
 
@@ -135,29 +154,61 @@ def manifest(chunks: DataFrame, store: DataFrame) -> DataFrame:
     return chunks.select("stream_id", "chunk_no", "chunk_id").join(store.select(*KEY, "chunk_id"), "chunk_id")
 
 
+def _joined(batches):
+    """Rows (stream_id, data) by stream and place -> a row a stream."""
+    last, parts, out = None, None, []
+    for batch in batches:
+        for i, data in zip(batch["stream_id"].to_pylist(), batch["data"]):
+            if parts is None or i != last:
+                if parts is not None:
+                    out.append((last, b"".join(parts)))
+                last, parts = i, []
+            parts.append(data.as_py())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], batch.schema.field("stream_id").type), pa.array([x[1] for x in out], pa.binary())], names=["stream_id", "data"])
+            kind, out = batch.schema.field("stream_id").type, []
+        else:
+            kind = batch.schema.field("stream_id").type
+    if parts is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last], kind), pa.array([b"".join(parts)], pa.binary())], names=["stream_id", "data"])
+
+
+def joined(parts: DataFrame) -> DataFrame:
+    """stream_id, data: the parts (stream_id, chunk_no, data) of each stream in order."""
+    kind = parts.schema["stream_id"].dataType.simpleString()
+    return parts.repartition("stream_id").sortWithinPartitions("stream_id", "chunk_no").select("stream_id", "data").mapInArrow(_joined, f"stream_id {kind}, data binary")
+
+
 def restore(listed: DataFrame, store: DataFrame) -> DataFrame:
-    """stream_id, data: every stream's chunks in order. Each stored chunk is decoded once."""
+    """stream_id, data: every stream's chunks in order. Each stored chunk is decoded once; the chunks
+    are sorted by stream and place, and a task joins one stream after the other."""
     data = decode(store, store)
-    parts = listed.select("stream_id", "chunk_no", "chunk_id").join(data, "chunk_id")
-    joined = parts.groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", F.hex("data").alias("x")))).alias("p"))
-    return joined.select("stream_id", F.unhex(F.array_join(F.transform("p", lambda p: p["x"]), "")).alias("data"))
-
-
-def probe(wanted: list[int], taken: set[int], top: int = 2**32 - 1) -> list[int]:
-    """Free cells for wanted ones in turn: h, then h+1, h-1, h+2, ... within 0 and top."""
-    out, used = [], set(taken)
-    for h in wanted:
-        d = 0
-        while True:
-            if h + d <= top and h + d not in used:
-                cell = h + d
-                break
-            if h - d >= 0 and h - d not in used:
-                cell = h - d
-                break
-            d += 1
-            if h + d > top and h - d < 0:
-                raise ValueError("no free cell")
-        used.add(cell)
-        out.append(cell)
-    return out
+    return joined(listed.select("stream_id", "chunk_no", "chunk_id").join(data, "chunk_id"))
+
+
+def probe_cells(wanted: DataFrame, taken: DataFrame, top: int = 2**32 - 1) -> DataFrame:
+    """ord, cell, at: in order of `ord` (unique), each wanted cell gets the free cell nearest to it: the
+    cell itself, then one above, one below, two above, ... within 0 and top. taken: cell.
+
+    By rounds instead of one after the other: all ask for their next candidate at once, and a cell
+    stays with whoever of those that ever asked comes first; the others ask on. As every cell prefers
+    the same order, this ends where the sequential search does. Of those that want the same cell, the
+    n-th cannot get better than its n-th candidate, so it begins there. A group of any size is spread
+    over its candidates; a full table raises.
+    """
+    k = F.col("k")
+    step = F.floor((k + 1) / 2)
+    place = F.col("cell") + F.when(k % 2 == 1, step).otherwise(-step)
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("ord")) - 1
+    held = stage(taken.select(F.col("cell").alias("at")).distinct(), "taken-cells")
+    state = stage(wanted.select("ord", "cell").withColumn("k", rank.cast("long")).withColumn("at", place), "asked")
+    if held.filter(F.col("at").between(0, top)).count() + state.count() > top + 1:
+        raise ValueError("no free cell")
+    while True:
+        first = state.groupBy("at").agg(F.min("ord").alias("first"))
+        full = held.withColumn("full", F.lit(True))
+        judged = state.join(first, "at").join(full, "at", "left")
+        lost = F.col("full").isNotNull() | (F.col("first") != F.col("ord")) | ~F.col("at").between(0, top)
+        state = stage(judged.select("ord", "cell", F.when(lost, k + 1).otherwise(k).alias("k"), lost.alias("lost")).withColumn("at", place), "asked")
+        if not state.filter("lost").limit(1).count():
+            return state.select("ord", "cell", "at")

@@ -56,17 +56,8 @@ def assign(chunks: DataFrame, config: ScrubConfig, known: DataFrame | None = Non
         return cluster.partial_clusters(made, "super_features", config.mismatches)
     if config.sketch == "gear":
         made = made.withColumn("sketch", F.coalesce(F.array_min("features"), F.lit(2**32 - 1)))
-    # the leader pass wants one number to order by: rank of the struct by its own fields
-    flat = made.select("chunk_id", ord_number(F.col("ord"), made).alias("ord"), F.col("ord").alias("place"), "sketch")
-    led = cluster.leader_clusters(flat.select("chunk_id", "ord", "sketch"), config.width, known)
-    return led.join(flat.select("chunk_id", "place"), "chunk_id").select("chunk_id", F.col("place").alias("ord"), F.col("cluster_key").cast("string").alias("cluster_key"))
-
-
-def ord_number(c, df: DataFrame):
-    """A long that sorts like (stream_id, chunk_no); plain longs stay."""
-    if df.schema["ord"].dataType.simpleString().startswith("struct"):
-        return c["stream_id"] * (1 << 20) + c["chunk_no"]
-    return c.cast("long")
+    led = cluster.leader_clusters(made.select("chunk_id", "ord", "sketch"), config.width, known)
+    return led.select("chunk_id", "ord", F.col("cluster_key").cast("string").alias("cluster_key"))
 
 
 def scrub(chunks: DataFrame, config: ScrubConfig = ScrubConfig(), existing: DataFrame | None = None) -> ScrubResult:
@@ -99,13 +90,13 @@ def measure(streams: DataFrame, chunker, config: ScrubConfig = ScrubConfig()) ->
     t = time.time()
     made = scrub(unique, config)
     took = time.time() - t
-    stored = made.store.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     logical, once = sizes["logical_bytes"] or 0, sizes["unique_bytes"] or 0
+    ratios = report.scrub_report(made.store, logical, once).first()
     t = time.time()
     back = store.restore(store.manifest(chunks, made.store), made.store)
     lost = streams.filter(F.octet_length("data") > 0).join(back.withColumnRenamed("data", "got"), "stream_id", "left").filter(~F.col("data").eqNullSafe(F.col("got"))).count()
     if lost:
         raise AssertionError(f"{lost} streams differ after restore")
     read = time.time() - t
-    row = (logical / max(1, once), logical / max(1, stored), 1000 * cdc, 1000 * took, 1000 * read)
+    row = (ratios["cdc_ratio"] or 0, ratios["total_ratio"] or 0, 1000 * cdc, 1000 * took, 1000 * read)
     return spark.createDataFrame([tuple(map(float, row))], "cdc_dedup_ratio double, total_dedup_ratio double, cdc_time_ms double, scrub_time_ms double, restore_time_ms double")

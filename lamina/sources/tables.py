@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -46,12 +47,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back; lineage ends there."""
-    spark = df.sparkSession
+_made: list[tuple[SparkSession, str]] = []
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when this process ends."""
     path = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append((spark, path))
+    return path
+
+
+def stage(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as Parquet in the shared folder, a folder for each value of `by`, and read it back:
+    lineage ends there, and a lost executor costs a read, not a recomputation."""
+    path = table_path(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_tables() -> None:
+    """Delete every table this process staged; their readers must be done."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended; the shared folder's owner clears it
+            return
+
+
+atexit.register(drop_tables)
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,9 @@ def scrub_batch(path: str, config: ScrubConfig):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         chunks = store.unique_chunks(batch.withColumn("chunk_no", F.lit(0)) if "chunk_no" not in batch.columns else batch)
-        existing = None
         try:
             existing = store.read(spark, path)
-            existing.limit(1).count()
-        except Exception as e:  # nothing stored yet
+        except AnalysisException as e:  # nothing stored yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             existing = None

@@ -75,25 +75,86 @@ def test_known_leaders_come_first(spark):
     assert got == {"a": 100, "b": 130}
 
 
-def test_greedy_leaders(spark):
-    n = 120
+def _tokens(spark, edges):
+    return spark.createDataFrame([(v, f"{a}-{b}") for a, b in edges for v in (a, b)], "node long, token string")
+
+
+@pytest.mark.parametrize("bound", [25, 50_000])
+def test_greedy_leaders(spark, bound):
+    n = 80
     edges = {(a, b) for a in range(n) for b in range(a) if R.random() < 0.03}
     want = {}
     for v in range(n):
         near = sorted(u for u in want if want[u] == u and ((v, u) in edges or (u, v) in edges))
         want[v] = near[0] if near else v
     nodes = spark.createDataFrame([(i, i) for i in range(n)], "node long, ord long")
-    got = graph.greedy_leaders(nodes, spark.createDataFrame(sorted(edges), "a long, b long"))
+    got = graph.greedy_leaders(nodes, _tokens(spark, sorted(edges)), bound)
     assert {r["node"]: r["leader"] for r in got.collect()} == want
 
 
+def test_greedy_leaders_of_a_long_path(spark):
+    n = 1000
+    nodes = spark.createDataFrame([(i, (0, i)) for i in range(n)], "node long, ord struct<stream_id:long,chunk_no:long>")
+    path = _tokens(spark, [(i, i + 1) for i in range(n - 1)])
+    for bound in (50_000, 600):
+        got = {r["node"]: r["leader"] for r in graph.greedy_leaders(nodes, path, bound).collect()}
+        assert got == {i: i - i % 2 for i in range(n)}
+
+
+@pytest.mark.parametrize("mismatches", [2, 6])
+def test_partial_clusters(spark, mismatches):
+    r = random.Random(9)
+    keys = [[str(r.randrange(4)) for _ in range(6)] for _ in range(60)] + [None, None]
+    df = spark.createDataFrame([(str(i), i, k) for i, k in enumerate(keys)], "chunk_id string, ord long, super_features array<string>").repartition(4)
+    led, want = [], {}
+    for i, k in enumerate(keys):
+        near = [j for j in led if (k is None) == (keys[j] is None) and (k == keys[j] or k is not None and sum(a != b for a, b in zip(k, keys[j])) < mismatches)]
+        want[i] = near[0] if near else i
+        led += [] if near else [i]
+    for bound in (25, 50_000):
+        got = cluster.partial_clusters(df, mismatches=mismatches, bound=bound).collect()
+        first = {}
+        for x in sorted(got, key=lambda x: x["ord"]):
+            first.setdefault(x["cluster_key"], x["ord"])
+        assert {x["ord"]: first[x["cluster_key"]] for x in got} == want
+
+
+@pytest.mark.parametrize("width, bound", [(0, 50_000), (10, 50_000), (10, 60), (700, 60)])
+def test_leader_clusters_in_rounds(spark, width, bound):
+    r = random.Random(width + bound)
+    keys = [r.randrange(0, 3000) for _ in range(250)] + [2**32 - 1, 2**32 - 5, 0] + [10 * i for i in range(40)]
+    df = spark.createDataFrame([(str(i), (i // 7, i % 7), k) for i, k in enumerate(keys)], "chunk_id string, ord struct<stream_id:long,chunk_no:long>, sketch long").repartition(3)
+    led, want = [], {}
+    for i, s in enumerate(keys):
+        near = sorted((abs(x - s), x) for x in led if abs(x - s) <= width)
+        want[str(i)] = near[0][1] if near else s
+        led += [] if near else [s]
+    assert {x["chunk_id"]: x["cluster_key"] for x in cluster.leader_clusters(df, width, bound=bound).collect()} == want
+
+
+def test_scrub_over_files_with_leader_clusters(spark, tmp_path):
+    """Hashed stream ids of 64 bits, ordered by (stream, chunk)."""
+    base = R.randbytes(30_000)
+    for i in range(4):
+        (tmp_path / f"f{i}").write_bytes(base[: 10_000 * (1 + i % 3)] + R.randbytes(3000) + bytes(500))
+    streams = file_streams(spark, str(tmp_path)).select("stream_id", "data")
+    from lamina import ship
+
+    ship(spark)
+    for config in (ScrubConfig("spectral", "leader", "edit"), ScrubConfig("spectral", "leader", "gdelta", width=1 << 24), ScrubConfig("gear", "leader", "xdelta")):
+        chunks = chunking.clamped_chunks(streams, 512, 2048, 4096).withColumn("chunk_id", F.col("sha256"))
+        made = scrub(store.unique_chunks(chunks), config)
+        back = {r["stream_id"]: bytes(r["data"]) for r in store.restore(store.manifest(chunks, made.store), made.store).collect()}
+        assert back == {r["stream_id"]: bytes(r["data"]) for r in streams.collect()}
+
+
 def test_leader_distances(spark):
     df = spark.createDataFrame([(k,) for k in (5, 5, 90, 2**32 - 1, 300)], "cluster_key long")
     got = {r["leader"]: (r["below"], r["above"]) for r in cluster.leader_distances(df).collect()}
     assert got == {5: (None, 85), 90: (85, 210), 300: (210, 2**32 - 301), 2**32 - 1: (2**32 - 301, None)}
-    assert cluster.all_leader_distances(df).count() == 12
-    with pytest.raises(ValueError):
-        cluster.all_leader_distances(df, most=3)
+    keys = (5, 90, 300, 2**32 - 1)
+    for block in (1, 2, 2048):
+        assert {tuple(r) for r in cluster.all_leader_distances(df, block).collect()} == {(a, b, abs(a - b)) for a in keys for b in keys if a != b}
 
 
 def _units(spark):
@@ -138,8 +199,17 @@ def test_store_insert_get_contains_clear(spark, tmp_path):
     orphan = kept.filter("chunk_type = 'delta'").limit(1)
     with pytest.raises(Exception, match="no leader"):
         store.decode(orphan, kept.filter("role = 'nobody'")).collect()
+    again = spark.createDataFrame(kept.limit(1).withColumn("payload", F.lit(b"new")).collect(), kept.schema)
+    key = tuple(again.select(*store.KEY).first())
+    store.insert(again, path)  # a key that is there: the new row takes its place
+    kept = store.read(spark, path)
+    assert kept.count() == len(data) and [bytes(r["payload"]) for r in kept.collect() if tuple(r[k] for k in store.KEY) == key] == [b"new"]
+    store.insert(spark.createDataFrame([("other", "simple", 0, "leader", None, "o", bytearray(b"x"))], store.SCHEMA), path)
+    assert store.read(spark, path).count() == len(data) + 1
     store.clear(spark, path)
     assert store.read(spark, path).count() == 0
+    store.insert(again, str(tmp_path / "fresh"))
+    assert store.read(spark, str(tmp_path / "fresh")).count() == 1
 
 
 def test_second_scrub_adds_only_new_chunks(spark):
@@ -152,11 +222,25 @@ def test_second_scrub_adds_only_new_chunks(spark):
     assert {r["chunk_id"]: bytes(r["data"]) for r in store.decode(both, both).collect()} == {str(i): d for i, d in enumerate(data)}
 
 
-def test_probe():
-    assert store.probe([5, 5, 5, 5, 0, 0], set()) == [5, 6, 4, 7, 0, 1]
-    assert store.probe([2**32 - 1], {2**32 - 1}) == [2**32 - 2]
+def _probe(wanted, taken, top):
+    used, out = set(taken), []
+    for h in wanted:
+        at = next(c for d in range(top + 2) for c in (h + d, h - d) if 0 <= c <= top and c not in used)
+        used.add(at)
+        out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("wanted, taken, top", [([5, 5, 5, 5, 0, 0], [], 9), ([2**32 - 1], [2**32 - 1], 2**32 - 1), ([3] * 9, [3, 5], 20), ([R.randrange(60) for _ in range(25)], [R.randrange(60) for _ in range(9)], 59)])
+def test_probe_cells(spark, wanted, taken, top):
+    asked = spark.createDataFrame(list(enumerate(wanted)), "ord long, cell long").repartition(3)
+    got = store.probe_cells(asked, spark.createDataFrame([(c,) for c in taken], "cell long"), top)
+    assert [r["at"] for r in sorted(got.collect(), key=lambda r: r["ord"])] == _probe(wanted, taken, top)
+
+
+def test_probe_of_a_full_table(spark):
     with pytest.raises(ValueError):
-        store.probe([0, 0, 0], set(), top=1)
+        store.probe_cells(spark.createDataFrame([(i, 0) for i in range(3)], "ord long, cell long"), spark.createDataFrame([], "cell long"), 1)
 
 
 def test_empty_input(spark):
