@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, stage, text_hash
+from ..operators.graph import components
+from .common import stage, text_hash
 
 #: A ring of five segments of the 64 bits: with at most 4 differing bits, some run of segments has
 #: 0, <= 1, <= 2, <= 3 differing bits over its first 1, 2, 3, 4 segments (4 / 5 a segment).
@@ -19,22 +18,24 @@ SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 BITS = 4
 #: Rows that a task compares with each other; larger groups are compared block by block.
 BLOCK = 4096
-#: Beyond this many different fingerprints, keys are chains of two segments.
-TWO_SEGMENTS = 1 << 22
-_FIND = re.compile(WORD)
-_UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """UTF-8 words of a text with A-Z lower-cased: bytes know no other letters and no white space
+    but the six ASCII characters."""
+    return (text or "").encode().lower().split()
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """64-bit SimHash, unsigned: a bit is 1 if set in over half of the shingles' hashes."""
-    words = _FIND.findall((text or "").translate(_UPPER))
+    words = lower_words(text)
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
     set_ = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_digest
     for a in range(0, n, 16384):  # bounded memory for texts of any length
-        part = b"".join([digest(" ".join(words[k : k + shingle]), 42) for k in range(a, min(n, a + 16384))])
+        part = b"".join([digest(b" ".join(words[k : k + shingle]), 42) for k in range(a, min(n, a + 16384))])
         set_ += np.unpackbits(np.frombuffer(part, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_ > n).tobytes(), "big")
 
@@ -54,33 +55,26 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", shingle: int = 4) -> Dat
     return df.select(F.col(id_col).alias("doc_id"), text_hash().alias("th"), "text").mapInArrow(_fingerprints(shingle), schema)
 
 
-def _keys(two: bool):
-    """fp -> its ring keys: (start, segment) or, with `two`, (start, segment, next segment), the
-    latter also with each single set bit cleared, since the next segment may differ by one bit."""
-
-    def run(batches):
-        for batch in batches:
-            fp = batch["fp"].to_numpy().view(np.uint64)
-            fps, keys = [], []
-            for i, (at, width) in enumerate(SEGMENTS):
-                head = ((fp >> np.uint64(at)) & np.uint64((1 << width) - 1)) | np.uint64(i << 13)
-                if not two:
-                    fps.append(fp)
-                    keys.append(head)
-                    continue
-                at2, width2 = SEGMENTS[(i + 1) % len(SEGMENTS)]
-                tail = (fp >> np.uint64(at2)) & np.uint64((1 << width2) - 1)
-                fps.append(fp)
-                keys.append((head << np.uint64(13)) | tail)
-                for b in range(width2):
-                    on = (tail >> np.uint64(b)) & np.uint64(1) == 1
-                    fps.append(fp[on])
-                    keys.append((head[on] << np.uint64(13)) | (tail[on] ^ np.uint64(1 << b)))
-            fp, key = np.concatenate(fps).view(np.int64), np.concatenate(keys).view(np.int64)
-            for a in range(0, len(fp), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[a : a + 65536]), pa.array(key[a : a + 65536])], names=["fp", "key"])
-
-    return run
+def _keys(batches):
+    """fp -> its ring keys (start, segment, next segment), also with each single set bit of the next
+    segment cleared, since that one may differ by a bit. The keys' space is that of 26 bits for each
+    start, so groups stay small for billions of fingerprints."""
+    for batch in batches:
+        fp = batch["fp"].to_numpy().view(np.uint64)
+        fps, keys = [], []
+        for i, (at, width) in enumerate(SEGMENTS):
+            head = ((fp >> np.uint64(at)) & np.uint64((1 << width) - 1)) | np.uint64(i << 13)
+            at2, width2 = SEGMENTS[(i + 1) % len(SEGMENTS)]
+            tail = (fp >> np.uint64(at2)) & np.uint64((1 << width2) - 1)
+            fps.append(fp)
+            keys.append((head << np.uint64(13)) | tail)
+            for b in range(width2):
+                on = (tail >> np.uint64(b)) & np.uint64(1) == 1
+                fps.append(fp[on])
+                keys.append((head[on] << np.uint64(13)) | (tail[on] ^ np.uint64(1 << b)))
+        fp, key = np.concatenate(fps).view(np.int64), np.concatenate(keys).view(np.int64)
+        for a in range(0, len(fp), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a : a + 65536]), pa.array(key[a : a + 65536])], names=["fp", "key"])
 
 
 def _chain(start: int) -> list[np.uint64]:
@@ -104,24 +98,20 @@ def near(fp: np.uint64, others: np.ndarray, chain: list[np.uint64]) -> np.ndarra
     return at
 
 
-def forest(fps: np.ndarray, start: int, two: bool) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links within one group; never more than its rows.
 
     Breadth first: a row is taken out of the open ones when reached, so a dense group costs about
-    one comparison a row and no pair of it is written out.
+    one comparison a row and no pair of it is written out. Rows that meet because each has another
+    bit cleared fail the chain's budget; if they link, they do so in another group.
     """
     chain = _chain(start)
-    if two:  # rows that meet over a cleared bit differ by two there: only the full test holds
-        chain = [None, None, None, chain[-1]]
     edges, open_ = [], fps
     while len(open_) > 1:
         queue, open_ = [open_[0]], open_[1:]
         while queue and len(open_):
             x = queue.pop()
-            if two:
-                hit = np.flatnonzero(np.bitwise_count(open_ ^ x) <= BITS)
-            else:
-                hit = near(x, open_, chain)
+            hit = near(x, open_, chain)
             if len(hit):
                 edges += [(int(x), int(y)) for y in open_[hit]]
                 queue += list(open_[hit])
@@ -129,34 +119,31 @@ def forest(fps: np.ndarray, start: int, two: bool) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(two: bool):
+def _links(batches):
     """Rows (key, pair, fp), sorted: groups in turn, joined over batch ends -> edges of their forests."""
 
     def edges_of(key, fps):
         fps = np.unique(fps.view(np.uint64))
-        return forest(fps, int(key) >> (26 if two else 13), two)
-
-    def run(batches):
-        held_key, held = None, []
-        for batch in batches:
-            key, pair, fp = (batch[c].to_numpy() for c in ("key", "pair", "fp"))
-            if not len(key):
-                continue
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
-            first, out = (key[0], pair[0]), []
-            bounds = [0, *cut.tolist(), len(key)]
-            for a, b in zip(bounds, bounds[1:]):
-                if (a == 0 and first != held_key) or a:
-                    if sum(map(len, held)) > 1:
-                        out += edges_of(held_key[0], np.concatenate(held))
-                    held_key, held = (key[a], pair[a]), []
-                held.append(fp[a:b])
-            if out:
-                yield _edges(out)
-        if sum(map(len, held)) > 1 and (out := edges_of(held_key[0], np.concatenate(held))):
+        return forest(fps, int(key) >> 26)
+
+    held_key, held = None, []
+    for batch in batches:
+        key, pair, fp = (batch[c].to_numpy() for c in ("key", "pair", "fp"))
+        if not len(key):
+            continue
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
+        first, out = (key[0], pair[0]), []
+        bounds = [0, *cut.tolist(), len(key)]
+        for a, b in zip(bounds, bounds[1:]):
+            if (a == 0 and first != held_key) or a:
+                if sum(map(len, held)) > 1:
+                    out += edges_of(held_key[0], np.concatenate(held))
+                held_key, held = (key[a], pair[a]), []
+            held.append(fp[a:b])
+        if out:
             yield _edges(out)
-
-    return run
+    if sum(map(len, held)) > 1 and (out := edges_of(held_key[0], np.concatenate(held))):
+        yield _edges(out)
 
 
 def _edges(pairs) -> pa.RecordBatch:
@@ -164,17 +151,17 @@ def _edges(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def links(distinct: DataFrame, block: int = BLOCK, two: bool | None = None) -> DataFrame:
+def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """a, b: links between different fingerprints at BITS or fewer differing bits that connect all
     that is linked; of each group a spanning forest, not all its pairs.
 
-    Two fingerprints that link share a ring key (the pigeonring principle), so they meet in a group.
+    Two fingerprints that link share a ring key and pass its chain's budgets (the pigeonring
+    principle), so they meet in a group. A ball of linked fingerprints is finite whatever the input,
+    and other groups are shares of the 26-bit key space.
     Groups of over `block` rows are split into blocks by hash, and each pair of blocks is a group of
     its own: no task holds more than two blocks, and no pair of rows is left out.
     """
-    if two is None:
-        two = distinct.count() > TWO_SEGMENTS
-    keyed = distinct.select("fp").mapInArrow(_keys(two), "fp long, key long")
+    keyed = distinct.select("fp").mapInArrow(_keys, "fp long, key long")
     keyed = stage(keyed, "ring-keys")
     large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     blocked = keyed.join(large, "key", "left")
@@ -183,33 +170,10 @@ def links(distinct: DataFrame, block: int = BLOCK, two: bool | None = None) -> D
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o)))
     dealt = blocked.select("key", F.explode(pairs).alias("pair"), "fp")
     parts = dealt.repartition(F.col("key"), F.col("pair")).sortWithinPartitions("key", "pair")
-    return parts.select("key", "pair", "fp").mapInArrow(_links(two), "a long, b long")
-
+    return parts.select("key", "pair", "fp").mapInArrow(_links, "a long, b long")
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """node, root: every node of the edges (a, b) with the smallest node that it is connected to.
 
-    Alternates large-star and small-star steps (linking to the least neighbour), each written to the
-    shared folder, until the edges no longer change; no step gathers a node's neighbours.
-    """
-    pairs = stage(edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    last = None
-    for _ in range(limit):
-        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo <> hi").distinct()
-        large = stage(large, "large-star")
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").select(F.col("m").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).filter("x <> y")
-        pairs = stage(small.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct(), "small-star")
-        state = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
-        if state == last:
-            return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
-        last = state
-    raise RuntimeError("components did not settle")
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", shingle: int = 4, block: int = BLOCK, two: bool | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", shingle: int = 4, block: int = BLOCK) -> DataFrame:
     """doc_id, th, fp, component_id of every row of df: rows whose fingerprints differ in at most BITS
     bits link, and component_id is the smallest id reachable.
 
@@ -220,7 +184,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", shingle: int = 4, blo
     """
     made = stage(fingerprints(df, id_col, shingle), "fingerprints")
     distinct = stage(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = stage(components(links(distinct, block, two)), "roots")
+    roots = stage(components(links(distinct, block)), "roots")
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = stage(joined.select("fp", "root", "least"), "rooted")
     least = ids.groupBy("root").agg(F.min("least").alias("component_id"))

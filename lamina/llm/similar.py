@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stage, text_hash
-from .neardup import _FIND, _UPPER, _edges, components
+from ..operators.graph import components
+from .neardup import _edges, lower_words
 
 #: Least similarity of a link, as a fraction, so that it is compared in whole numbers.
 SIMILARITY = (4, 5)
@@ -24,9 +25,9 @@ BLOCK, SETS = 4096, 256
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the different shingles of a text's lower-cased words; a text of fewer words is
     one shingle."""
-    words = _FIND.findall((text or "").translate(_UPPER))
+    words = lower_words(text)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(" ".join(words[k : k + shingle]), 42) for k in range(max(1, len(words) - shingle + 1))), dtype=np.uint64))
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), 42) for k in range(max(1, len(words) - shingle + 1))), dtype=np.uint64))
 
 
 def prefix(n: int, similarity: tuple[int, int] = SIMILARITY) -> int:
