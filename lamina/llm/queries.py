@@ -9,7 +9,7 @@ from lamina import ship
 
 from .common import documents
 from .lines import LINE_DEDUP_SQL, dedup_lines
-from .mixing import mix
+from .mixing import MIX_SQL, mixed_documents
 from .neardup import near_duplicates
 from .packing import pack
 from .pii import replace_pii
@@ -39,8 +39,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = mix(documents(spark, sf_dir)).filter(F.col("turn") == 0)
-    return first.select("doc_id", "size", "source_size", "target", "taken", "finish", "mix_start")
+    return mixed_documents(documents(spark, sf_dir))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +98,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_urls": URL_SQL, "op7_topk": TOPK_SQL, "op10_lines": LINE_DEDUP_SQL}
+    return {"op2_mixing": MIX_SQL, "op4_urls": URL_SQL, "op7_topk": TOPK_SQL, "op10_lines": LINE_DEDUP_SQL}
