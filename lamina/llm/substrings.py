@@ -15,8 +15,9 @@ from .common import stage
 
 #: Bytes that a boundary depends on.
 WINDOW = 16
-#: Share of the white-space bytes, and of other first bytes of characters, that end a chunk.
-AT_SPACE, ELSEWHERE = 1 / 4, 1 / 512
+#: Share of the white-space bytes, and of other first bytes of characters, that end a chunk; the latter
+#: where the LONG bytes before hold no white space, as in scripts that do without.
+AT_SPACE, ELSEWHERE, IN_LONG, LONG = 1 / 4, 1 / 512, 1 / 12, 40
 #: Bytes of a run of repeated chunks that count as a repeated passage.
 MIN_BYTES = 100
 #: Bytes hashed at once.
@@ -39,18 +40,22 @@ def gear(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 def ends(data: np.ndarray) -> np.ndarray:
     """Ends of the chunks of one text's bytes, the last included. A boundary follows white space, or
-    rarely another character's start stands before it, where the gear hash is low. It depends on the
-    WINDOW bytes before it alone, so boundaries come back right after an insertion."""
+    stands before another character, where the gear hash is low: rarely within words, often within
+    long runs without white space. It depends on the WINDOW bytes before it, and on whether there is
+    white space in the LONG ones, alone, so boundaries come back soon after an insertion."""
     if not len(data):
         return np.zeros(0, dtype=np.int64)
     found = []
     for a in range(0, len(data), SLICE):
-        lead = min(a, WINDOW)
+        lead = min(a, LONG)
         part = data[a - lead : a + SLICE]
         h = gear(part)
         at = _SPACE[part] & (h < np.uint32(int(AT_SPACE * 2**32)))
         nxt = np.append(_FIRST[part[1:]], a + SLICE >= len(data) or bool(_FIRST[data[a + SLICE]]))
-        at |= nxt & (h < np.uint32(int(ELSEWHERE * 2**32)))
+        gaps = np.concatenate([[0], np.cumsum(_SPACE[part])])
+        long_ = np.zeros(len(part), dtype=bool)
+        long_[LONG - 1 :] = gaps[LONG:] == gaps[:-LONG] if len(part) >= LONG else False
+        at |= nxt & (h < np.where(long_, np.uint32(int(IN_LONG * 2**32)), np.uint32(int(ELSEWHERE * 2**32))))
         at[: WINDOW - 1 if not lead else lead] = False
         found.append(np.flatnonzero(at) + (a - lead) + 1)
     out = np.concatenate(found)
@@ -86,6 +91,9 @@ def repeated_spans(df: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     are counted with a partial aggregate and joined back, so that a very common chunk is one row a
     task on one side and may be split on the other.
 
+    Chunks are compared by 64 bits of hash. Two different ones of all n collide with a chance of about
+    n * n / 2**65; a span of `min_bytes` takes several chunks in a row, which must then all collide.
+
     Null and empty texts have no chunks. Rows of a null id own nothing and lose what others own;
     rows of one id count as one document, repeated rows yield their spans once. An empty table gives
     no rows. Other columns are ignored.
@@ -126,7 +134,13 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
 
 
 def dedup_substrings(df: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """df's columns plus n_repeated (bytes) and kept_text, the text without its repeated spans."""
+    """df's columns plus n_repeated (bytes) and kept_text, the text without its repeated spans.
+
+    Null and empty text: n_repeated 0 and an empty kept_text. Repeated rows, and rows of one id with
+    the same text, lose the same spans; the document of the smallest id keeps them. Rows of a null id
+    lose what others own. An empty table gives no rows. Other columns pass through (n_repeated and
+    kept_text are replaced).
+    """
     df = df.drop("n_repeated", "kept_text")
     spans = repeated_spans(df, min_bytes)
     gone = spans.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "length")).alias("__gone"), F.sum("length").alias("__n"))
