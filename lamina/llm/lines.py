@@ -29,6 +29,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.made: list[str] = []
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(self) -> list[tuple[str, str]]:
@@ -36,6 +37,7 @@ class LineRuns:
 
     def _write(self, df: DataFrame, level: int) -> None:
         name, path = f"line_run_{uuid.uuid4().hex}", table_path(self.spark, f"line-run-{level}")
+        self.made.append(name)
         df.select("k1", "k2", "owner").write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
@@ -64,8 +66,8 @@ class LineRuns:
         return out
 
     def close(self) -> None:
-        for name, _ in self.runs():
-            self.spark.sql(f"DROP TABLE {name}")
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
@@ -98,14 +100,16 @@ def dedup_lines(df: DataFrame, min_chars: int = 10, n_batches: int = 4, fanout:
         .withColumn("key", line_key("line")).filter(F.char_length("key") >= min_chars)
         .select("doc_id", "th", "line_no", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), F.col("key")).alias("k2"), batch.alias("batch"))
     )
-    lines = stage(lines, "lines")
+    lines = stage(lines, "lines", "batch")
     runs = LineRuns(spark, fanout)
-    for b in range(n_batches):
-        runs.add(lines.filter(F.col("batch") == b).groupBy("k1", "k2").agg(F.min("doc_id").alias("owner")))
-    owned = lines.join(runs.owners(), ["k1", "k2"]).filter(F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("owner") < F.col("doc_id"))))
-    gone = owned.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("line_no").alias("__gone"))
-    gone = stage(gone, "lines-gone")
-    runs.close()
+    try:
+        for b in range(n_batches):
+            runs.add(lines.filter(F.col("batch") == b).groupBy("k1", "k2").agg(F.min("doc_id").alias("owner")))
+        owned = lines.join(runs.owners(), ["k1", "k2"]).filter(F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("owner") < F.col("doc_id"))))
+        gone = owned.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("line_no").alias("__gone"))
+        gone = stage(gone, "lines-gone")
+    finally:
+        runs.close()
     has = F.col("__gone").isNotNull()
     return (
         df.withColumn("__h", F.xxhash64(text))
