@@ -17,7 +17,8 @@ from .tokens import TextIds
 
 #: A piece may leave 1 / SLACK of the capacity empty in a bin of its class before it is cut.
 SLACK = 64
-BUCKETS = 256
+#: Buckets of each class, least and most; between the two one for each BUCKET_ROWS documents.
+BUCKETS, BUCKET_ROWS = (256, 4096), 1 << 14
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, bucket int"
 
 
@@ -58,7 +59,7 @@ def pieces_of(n: int, capacity: int) -> Iterator[tuple[int, int, int]]:
         at += length
 
 
-def _pieces(capacity: int, tokenizer: str, end_id: int, with_ids: bool):
+def _pieces(capacity: int, tokenizer: str, end_id: int, with_ids: bool, buckets: int):
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
@@ -70,7 +71,7 @@ def _pieces(capacity: int, tokenizer: str, end_id: int, with_ids: bool):
                 n = len(ids) // 4
                 for start, length, k in pieces_of(n, capacity):
                     part = ids[4 * start : 4 * (start + length)]
-                    row = (doc_id, start, length, zlib.crc32(part), n, k, (bucket + start) % BUCKETS)
+                    row = (doc_id, start, length, zlib.crc32(part), n, k, (bucket + start) % buckets)
                     for col, x in zip(out, (*row, part) if with_ids else row):
                         col.append(x)
             kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()] * with_ids
@@ -122,14 +123,16 @@ def pack(df: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_
     if capacity < 2:
         raise ValueError("capacity must be at least 2")
     schema = PIECE + (", ids binary" if with_ids else "")
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"), "text")
-    made = stage(rows.mapInArrow(_pieces(capacity, tokenizer or default_tokenizer(), end_id, with_ids), schema), "pieces")
+    buckets = max(BUCKETS[0], min(BUCKETS[1], df.count() // BUCKET_ROWS))
+    own = F.xxhash64("doc_id", F.octet_length("text"))  # ids may be null or one; lengths part them
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(own, F.lit(buckets)).cast("int").alias("bucket"), "text")
+    made = stage(rows.mapInArrow(_pieces(capacity, tokenizer or default_tokenizer(), end_id, with_ids, buckets), schema), "pieces")
     counts = made.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("class", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("class")).alias("of_class"))
     bins = counts.select("class", F.floor(F.col("of_class") / F.col("class")).alias("bins")).distinct()  # a row a class
     bins = bins.select("class", "bins", F.coalesce(F.sum("bins").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_bin"), F.sum("bins").over(Window.partitionBy()).alias("full_bins"))
-    counts = counts.join(F.broadcast(bins), "class")  # classes <= 2 * sqrt(capacity), buckets: BUCKETS
+    counts = counts.join(F.broadcast(bins), "class")  # classes <= 2 * sqrt(capacity), 4096 buckets at most
     number = F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
     placed = made.withColumn("rn", number).join(F.broadcast(counts), ["class", "bucket"]).withColumn("index", F.col("base") + F.col("rn"))
     placed = stage(placed.withColumn("bin", F.floor(F.col("index") / F.col("class"))), "placed")
