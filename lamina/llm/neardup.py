@@ -163,8 +163,8 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     keyed = distinct.select("fp").mapInArrow(_keys, "fp long, key long")
     keyed = stage(keyed, "ring-keys")
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    blocked = keyed.join(large, "key", "left")
+    shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-ring-keys")  # most keys have one row, and nobody to meet
+    blocked = keyed.join(shared.withColumn("blocks", F.when(F.col("n") > block, F.ceil(F.col("n") / block)).cast("int")), "key")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     # a pair of blocks (x <= y) is x * blocks + y; a lone group is -1
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o)))
