@@ -49,12 +49,12 @@ def edited():
     return [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("blocks", [(4096, 256), (8, 3)])
+@pytest.mark.parametrize("blocks", [(4096, 1 << 22, 8), (8, 900, 2), (8, 900, 0)])
 def test_similar_documents(spark, blocks):
     ship(spark)
     own = edited() + [(None if r[0] is None else 1000 + r[0], *r[1:]) for r in odd_rows() if r[0] is None or r[0] < 2**60]
     df = cluttered(spark.createDataFrame(own, SCHEMA).repartition(5))
-    got = similar.similar_documents(df, block=blocks[0], sets=blocks[1]).collect()
+    got = similar.similar_documents(df, block=blocks[0], elements=blocks[1], seeds=blocks[2]).collect()
     want = groups([r[:2] for r in own])
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((r[0], g) for r, g in zip(own, want))
 
