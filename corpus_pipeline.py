@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: five stages, each on all that the one before kept."""
+"""From raw documents to packed sequences: five stages, each on all that the one before kept.
+
+Stages take any table with the columns of `documents`; all but the last return just these, and other
+columns, whatever their names, are dropped. An empty table gives an empty one of the same columns.
+"""
 
 from __future__ import annotations
 
@@ -17,30 +21,54 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts have no words and go; a null id is judged by its text like any other; null
+    languages and sources stay. Repeated rows share a verdict and all stay or all go. Texts of any
+    length are judged whole. Without labels only the base rules count.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(docs, labels).filter("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has; those with no line left go."""
+    """Documents without the lines that an earlier document has; those with no line left go.
+
+    Null and empty texts are one empty line, which stays (as an empty text). Rows of a null id come
+    last and lose what others own; rows of one id count as one document, so repeated rows all stay.
+    n_chars is counted anew.
+    """
     ship(spark)
     kept = dedup_lines(docs).withColumn("text", F.col("kept_text")).filter((F.col("n_lines") > F.col("n_dropped")))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near-duplicates, which share 0.8 or more of
-    their shingles of five words; repeated rows once."""
+    """One document of every group of near-duplicates, which share 0.8 or more of their shingles of five
+    words: the one of the smallest id.
+
+    Null, empty and wordless texts are near-duplicates of each other. Ids that are null come after all
+    others, and by the text's hash; of repeated rows (same id and text) one stays, with the null,
+    language or source of any of them.
+    """
     ship(spark)
+    docs = docs.select(*COLUMNS)
     found = stage(similar_documents(docs), "near-duplicates")
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("x"))
+    first = least.select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__th"))
     return one_each(docs, found).join(first, same, "left_semi").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's documents, one row for each turn of a document; a source's last turn is cut to the word."""
+    """The mix's documents, one row for each turn of a document; where the budget ends within a document,
+    its text is cut after the word.
+
+    Null, empty and wordless texts have no words to take and go. Null sources are one source, the
+    last; null ids queue first in theirs. Of repeated rows (same id and text) each queues, and each
+    one's turns come out. n_chars is counted anew.
+    """
+    docs = docs.select(*COLUMNS)
     turns = stage(mix(docs.withColumn("th", text_hash()), keep=("th",)).filter("words > 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "size", "words", "turn"), "turns")
     rows = turns.filter("turn = 0").select(F.col("__id").alias("doc_id"), F.col("__th").alias("th"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__th"))
@@ -55,7 +83,11 @@ def cut_words(text, n):
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens, in the columns of `pack`.
+
+    A null or empty text is the end id alone; null and repeated ids keep all their pieces; texts of
+    any length are cut into as many as they need.
+    """
     ship(spark)
     return pack(docs)
 
