@@ -49,7 +49,7 @@ def edited():
     return [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("blocks", [(4096, 1 << 22, 8), (8, 900, 2), (8, 900, 0)])
+@pytest.mark.parametrize("blocks", [(4096, 1 << 22, 8), (8, 900, 1)])
 def test_similar_documents(spark, blocks):
     ship(spark)
     own = edited() + [(None if r[0] is None else 1000 + r[0], *r[1:]) for r in odd_rows() if r[0] is None or r[0] < 2**60]
