@@ -14,8 +14,9 @@ def spark(tmp_path_factory):
 
     folder = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1").config("spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version", "2")
         .config("spark.checkpoint.dir", str(folder / "shared")).config("spark.sql.warehouse.dir", str(folder / "warehouse")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
