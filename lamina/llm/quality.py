@@ -13,17 +13,35 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Buckets of each n-gram order, least and most; between the two one for each BUCKET_BYTES of text.
 BUCKETS, BUCKET_BYTES = (1 << 13, 1 << 18), 1 << 15
 ORDERS = (1, 2)
-#: Bound of the labelled sample that the target multinomial and the threshold come from.
-TRUSTED = 20_000
-#: Share of the trusted sample that the threshold may reject.
+#: Bits of the table that tells which ids may be trusted, least and most; in between 16 to 32 an id.
+MAYBE_BITS = (1 << 16, 1 << 25)
+#: Share of the trusted documents that the threshold may reject.
 REJECT = 0.005
 STEP = 10_000
 
 
-def trusted_sample(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """At most `bound` ids of good, not toxic documents, lowest id hashes first."""
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all good, not toxic documents."""
+    return labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+def dealt(df: DataFrame, trusted: DataFrame, bits: tuple[int, int] = MAYBE_BITS) -> tuple[DataFrame, DataFrame]:
+    """df's doc_id and text in two parts: rows whose id may be trusted, with `trusted` (true or null),
+    and the others.
+
+    A bitmap of the ids' hashes deals them, so that few other texts move to the join; more ids than it
+    has room for let more through. The join is exact and never a broadcast: labels grow with documents.
+    """
+    size = max(bits[0], min(bits[1], 1 << (16 * trusted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(size))  # the same for ids of any type
+    at, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    set_ = trusted.select(at.alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("m")).groupBy("i").agg(F.bit_or("m").alias("m"))
+    all_ = df.sparkSession.range(size // 64).select(F.col("id").alias("i")).join(set_, "i", "left").na.fill(0)
+    table = stage(all_.agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("x")).select(F.col("x.m").alias("m")), "trusted-bits")
+    maybe = F.col("doc_id").isNotNull() & (F.getbit(F.get(table.scalar(), at.cast("int")), bit) == 1)
+    rows = df.select("doc_id", "text")
+    met = rows.filter(maybe).join(trusted.withColumn("trusted", F.lit(True)).hint("merge"), "doc_id", "left")
+    return stage(met, "maybe-trusted"), rows.filter(~maybe)
 
 
 def _grams(w: Column, orders: tuple, buckets: int) -> Column:
@@ -63,21 +81,20 @@ def _statistics(df: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def fit(df: DataFrame, trusted: DataFrame, orders: tuple, buckets: int) -> DataFrame:
-    """One row: w0, w1, the log ratios of all buckets, target over raw corpus.
+def fit(met: DataFrame, rest: DataFrame, orders: tuple, buckets: int) -> DataFrame:
+    """One row: w0, w1, the log ratios of all buckets, target over raw corpus. met, rest: see `dealt`.
 
-    The raw multinomial counts all of df. The trusted documents are dealt to two halves by id; w0
+    The raw multinomial counts all rows, the target all trusted ones. These go to two halves by id; w0
     has the target multinomial of the half 1 and serves the documents of the half 0, w1 the other
     way, so that no document is scored by counts of its own.
     """
-    ids = trusted.select("doc_id", F.lit(True).alias("__t"))
-    rows = df.select("doc_id", words(F.col("text")).alias("__w")).join(F.broadcast(ids), "doc_id", "left")
-    half = F.when(F.col("__t"), F.pmod(F.xxhash64("doc_id"), F.lit(2)))
-    each = rows.select(half.alias("half"), F.explode(_grams(F.col("__w"), orders, buckets)).alias("b"))
+    half = F.when(F.col("trusted"), F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    rows = met.select("text", half.alias("half")).unionByName(rest.select("text", F.lit(None).cast("long").alias("half")))
+    each = rows.select("half", F.explode(_grams(words(F.col("text")), orders, buckets)).alias("b"))
     count = lambda c: F.count(F.when(c, 1))
     seen = each.groupBy("b").agg(F.count(F.lit(1)).alias("q"), count(F.col("half") == 1).alias("p0"), count(F.col("half") == 0).alias("p1"))
     seen = stage(seen, "gram-counts")
-    all_ = df.sparkSession.range(buckets * len(orders)).select(F.col("id").cast("int").alias("b")).join(seen, "b", "left").na.fill(0)
+    all_ = rest.sparkSession.range(buckets * len(orders)).select(F.col("id").cast("int").alias("b")).join(seen, "b", "left").na.fill(0)
     of_order = Window.partitionBy(F.floor(F.col("b") / buckets))
     raw = all_.withColumn("raw", (F.col("q") + 1) / F.sum(F.col("q") + 1).over(of_order))
     # the target's prior is the raw share, worth as many grams as buckets: what it never saw counts against a text
@@ -97,13 +114,12 @@ def _scored(df: DataFrame, weights: DataFrame, orders: tuple, buckets: int) -> D
     return out.select(*df.columns, F.explode(F.array(made)).alias("__r")).select(*df.columns, "__r.*")
 
 
-def quality_rules(df: DataFrame, labels: DataFrame, orders: tuple = ORDERS, buckets: int | None = None, bound: int = TRUSTED, reject: float = REJECT) -> DataFrame:
+def quality_rules(df: DataFrame, labels: DataFrame, orders: tuple = ORDERS, buckets: int | None = None, reject: float = REJECT) -> DataFrame:
     """df's columns plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     score: mean over the text's n-grams of log(target share / raw share) of their hash buckets. The
-    target is a bounded sample of labelled good documents, the raw corpus all of df; the buckets grow
-    with the corpus, up to a bound, since every worker holds their weights. kept: not
-    base_failed and score at least the threshold, the score that `reject` of the trusted documents
+    target is all documents labelled good, the raw corpus all of df; the buckets grow with the
+    corpus, up to a bound, since every worker holds their weights. kept: not base_failed and score at least the threshold, the score that `reject` of the trusted documents
     stay under (to 1 / STEP); without trusted documents only the base rules count.
 
     Three-word windows are compared by 64 bits of hash. Null or empty text has no words and fails
@@ -113,10 +129,9 @@ def quality_rules(df: DataFrame, labels: DataFrame, orders: tuple = ORDERS, buck
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     df = df.drop(*made)
     buckets = buckets or buckets_for(df)
-    trusted = stage(trusted_sample(labels, bound), "trusted")
-    weights = stage(fit(df, trusted, orders, buckets), "gram-weights")
-    sample = _scored(df.select("doc_id", "text").join(F.broadcast(trusted), "doc_id"), weights, orders, buckets)
-    bins = sample.filter(~F.col("base_failed")).groupBy(F.floor(F.col("score") * STEP).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    met, rest = dealt(df, stage(trusted_ids(labels), "trusted"))
+    weights = stage(fit(met, rest, orders, buckets), "gram-weights")
+    bins = _scored(met.filter("trusted").select("doc_id", "text"), weights, orders, buckets).filter(~F.col("base_failed")).groupBy(F.floor(F.col("score") * STEP).alias("s")).agg(F.count(F.lit(1)).alias("n"))
     upto = bins.select("s", F.sum("n").over(Window.orderBy("s")).alias("c"), F.sum("n").over(Window.partitionBy()).alias("all"))
     least = stage(upto.filter(F.col("c") > reject * F.col("all")).agg((F.min("s") / STEP).alias("t")), "threshold").scalar()
     scored = _scored(df, weights, orders, buckets)

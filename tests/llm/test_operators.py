@@ -145,6 +145,42 @@ def test_quality_scores_and_verdicts(given, spark, sf_dir):
             assert r["kept"] == (not bad and s >= least)
 
 
+def unhashed_last(spark, n=24_000, few=60):
+    """Labels of n good ids, and documents of the `few` ids whose hashes come last: (labels, documents, trusted ids)."""
+    import random
+
+    r = random.Random(5)
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.when(F.col("id") % 2 == 0, 0).alias("toxic"))
+    last = [x["doc_id"] for x in labels.orderBy(F.xxhash64("doc_id").desc()).limit(few).collect()]
+    word = lambda k: "".join(r.choice("qxzjkvw0123456789") for _ in range(k))
+    good = [word(5) for _ in range(40)]
+    docs = [(d, " ".join(r.choice(good) for _ in range(120)), "en", "s", 1) for d in last]
+    docs += [(10**9 + i, " ".join(word(7) for _ in range(120)), "en", "s", 1) for i in range(20)]
+    return labels, docs, set(last)
+
+
+def test_quality_trusts_every_good_document(spark, empty):
+    labels, docs, trusted = unhashed_last(spark)
+    scores, least = brute.ratio_scores([x[:2] for x in docs], trusted)
+    assert any(s < least for s in scores)
+    got = {r["doc_id"]: r for r in rows(quality.quality_rules(spark.createDataFrame(docs, empty.schema), labels))}
+    for (d, t, *_), s in zip(docs, scores):
+        assert abs(got[d]["score"] - s) < 2e-6 and got[d]["kept"] == (not brute.quality(t)[-1] and s >= least)
+
+
+@pytest.mark.parametrize("bits", [(64, 64), quality.MAYBE_BITS])
+def test_trusted_rows_are_exact(spark, odd, bits):
+    """Also with a bitmap that lets most through; null ids are never trusted, repeated rows all."""
+    trusted = spark.createDataFrame([(d,) for d in (1, 2, 9, 2**62, -5, 105, *range(10**6, 10**6 + 99))], "doc_id long")
+    count = lambda rows_: Counter((r["doc_id"], r["text"]) for r in rows_)
+    own = rows(odd)
+    for of in (trusted, trusted.limit(0)):
+        held = {r["doc_id"] for r in of.collect()}
+        met, rest = quality.dealt(odd, of, bits)
+        assert count(rows(met.filter("trusted"))) == count(r for r in own if r["doc_id"] in held)
+        assert count(rows(met) + rows(rest)) == count(own)
+
+
 def test_buckets_grow(spark):
     sized = lambda n: quality.buckets_for(spark.range(n).select(F.repeat(F.lit("x"), 1 << 20).alias("text")))
     assert sized(0) == sized(1) == quality.BUCKETS[0] and sized(300) == 8192 and sized(600) == 16384
