@@ -8,6 +8,7 @@ import pytest
 
 from . import brute
 from .conftest import cluttered
+from .test_operators import unhashed_last
 from .test_similar import groups
 
 STAGES = dict(cp.STAGES)
@@ -46,6 +47,15 @@ def test_quality(through):
     assert all(good[x] == n for x, n in pairs(kept).items())  # repeated rows share a verdict
 
 
+def test_quality_trusts_every_good_document(spark, empty, tmp_path):
+    labels, docs, trusted = unhashed_last(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    scores, least = brute.ratio_scores([x[:2] for x in docs], trusted)
+    want = {x[0] for x, s in zip(docs, scores) if not brute.quality(x[1])[-1] and s >= least}
+    assert len(want) < len(docs)
+    assert {r["doc_id"] for r in cp.quality(spark, spark.createDataFrame(docs, empty.schema), str(tmp_path)).collect()} == want
+
+
 def test_line_dedup(through):
     given, kept, _ = through["line dedup"]
     made = brute.lines([(r["doc_id"], r["text"]) for r in given])
