@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from .common import WORD, stage, words
 
 SYMBOL = r"[#*$%&|<>]"
-SPACE = r"[\x20\x09-\x0D]"
+#: Words of a window that counts as repeated.
+WINDOW = 3
 #: Buckets of each n-gram order, least and most; between the two one for each BUCKET_BYTES of text.
 BUCKETS, BUCKET_BYTES = (1 << 13, 1 << 18), 1 << 15
 ORDERS = (1, 2)
@@ -44,17 +45,40 @@ def dealt(df: DataFrame, trusted: DataFrame, bits: tuple[int, int] = MAYBE_BITS)
     return stage(met, "maybe-trusted"), rows.filter(~maybe)
 
 
-def _grams(w: Column, orders: tuple, buckets: int) -> Column:
-    """Buckets of all n-grams, each order in a range of its own."""
-    parts, run = [], F.transform(w, lambda x: F.xxhash64(x))
-    first = run
-    for k, n in enumerate(range(1, max(orders) + 1)):
-        if k:  # an n-gram's hash: that of the one before and of its last word
-            run = F.zip_with(F.slice(run, 1, F.greatest(F.size(w) - n + 1, F.lit(0))), F.slice(first, n, F.greatest(F.size(w) - n + 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+def _bucket(h: Column, k: int, buckets: int) -> Column:
+    """Bucket of an n-gram's hash; orders have ranges of their own, k numbers them."""
+    at = F.pmod(h, F.lit(buckets))
+    return (at + F.lit(buckets * k) if k else at).cast("int")
+
+
+def _grams(df: DataFrame, orders: tuple, buckets: int) -> DataFrame:
+    """half, b: one row for each n-gram of df's texts, b its bucket.
+
+    Rows of words side by side, not arrays of hashes: Spark compiles these expressions, while it
+    interprets those on array elements, at several times the cost.
+    """
+    top = max(orders)
+    after = lambda n: F.slice("__w", n, F.greatest(F.size("__w") - (n - 1), F.lit(0)))
+    beside = F.arrays_zip(*(after(n).alias(f"w{n}") for n in range(1, top + 1)))  # null past the text's end
+    each = df.select("half", words(F.col("text")).alias("__w")).select("half", F.explode(beside).alias("p"))
+    first = lambda n: F.when(F.col(f"p.w{n}").isNotNull(), F.xxhash64(f"p.w{n}"))
+    each = each.select("half", *(first(n).alias(f"h{n}") for n in range(1, top + 1)))
+    run, parts = F.col("h1"), []
+    for n in range(1, top + 1):
+        if n > 1:  # an n-gram's hash: that of the one before and of its last word
+            run = F.when(F.col(f"h{n}").isNotNull(), F.xxhash64(run, F.col(f"h{n}")))
         if n in orders:
-            at = F.lit(buckets * len(parts))
-            parts.append(F.transform(run, lambda x: (F.pmod(x, F.lit(buckets)) + at).cast("int")))
-    return F.concat(*parts)
+            parts.append(_bucket(run, len(parts), buckets))
+    return each.select("half", F.explode(F.array(*parts)).alias("b")).filter("b is not null")
+
+
+def _hashes(df: DataFrame, top: int) -> DataFrame:
+    """df, which has its words as __w, with the hashes of all its n-grams up to n = top as __1, __2 and so on."""
+    df = df.withColumn("__1", F.transform("__w", lambda x: F.xxhash64(x)))
+    for n in range(2, top + 1):  # as in _grams
+        fit_ = F.greatest(F.size("__1") - (n - 1), F.lit(0))
+        df = df.withColumn(f"__{n}", F.zip_with(F.slice(f"__{n - 1}", 1, fit_), F.slice("__1", n, fit_), lambda x, y: F.xxhash64(x, y)))
+    return df
 
 
 def buckets_for(df: DataFrame) -> int:
@@ -63,21 +87,21 @@ def buckets_for(df: DataFrame) -> int:
     return max(BUCKETS[0], min(BUCKETS[1], 1 << max(0, (size // BUCKET_BYTES).bit_length() - 1)))
 
 
-def _statistics(df: DataFrame) -> DataFrame:
+def _statistics(df: DataFrame, top: int = WINDOW) -> DataFrame:
+    """df with its statistics, words (__w) and the hashes of n-grams (see _hashes)."""
     text, n = F.coalesce(F.col("text"), F.lit("")), F.size("__w")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     less = lambda c, k: F.slice(c, k, F.greatest(F.size(c) - 1, F.lit(0)))
     out = df.withColumn("__w", words(F.col("text"))).withColumn("n_words", n.cast("long"))
-    out = out.withColumn("word_chars", (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
     out = out.withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOL)).cast("long"))
     out = out.withColumn("__l", lines).withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")).drop("__l")
-    out = out.withColumn("__2", F.zip_with(less(F.col("__w"), 1), less(F.col("__w"), 2), lambda x, y: F.xxhash64(x, y)))
-    out = out.withColumn("__3", F.zip_with(less(F.col("__2"), 1), less(F.col("__2"), 2), lambda x, y: F.xxhash64(x, y)))
+    out = _hashes(out, max(top, WINDOW))
     # windows side by side in the order of their hashes: equal neighbours are the repeated ones
     out = out.withColumn("__s", F.when(F.size(F.array_distinct("__3")) < F.size("__3"), F.sort_array(F.transform("__3", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twin = F.zip_with(less(F.col("__s"), 1), less(F.col("__s"), 2), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], x["i"] + 1, x["i"] + 2, y["i"], y["i"] + 1, y["i"] + 2)))
     covered = F.size(F.array_distinct(F.flatten(F.filter(twin, lambda x: x.isNotNull()))))
-    out = out.withColumn("n_repeat_words", F.when(F.col("__s").isNull(), 0).otherwise(covered).cast("long")).drop("__2", "__3", "__s")
+    out = out.withColumn("n_repeat_words", F.when(F.col("__s").isNull(), 0).otherwise(covered).cast("long")).drop("__s")
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -90,7 +114,7 @@ def fit(met: DataFrame, rest: DataFrame, orders: tuple, buckets: int) -> DataFra
     """
     half = F.when(F.col("trusted"), F.pmod(F.xxhash64("doc_id"), F.lit(2)))
     rows = met.select("text", half.alias("half")).unionByName(rest.select("text", F.lit(None).cast("long").alias("half")))
-    each = rows.select("half", F.explode(_grams(words(F.col("text")), orders, buckets)).alias("b"))
+    each = _grams(rows, orders, buckets)
     count = lambda c: F.count(F.when(c, 1))
     seen = each.groupBy("b").agg(F.count(F.lit(1)).alias("q"), count(F.col("half") == 1).alias("p0"), count(F.col("half") == 0).alias("p1"))
     seen = stage(seen, "gram-counts")
@@ -106,9 +130,12 @@ def fit(met: DataFrame, rest: DataFrame, orders: tuple, buckets: int) -> DataFra
 
 def _scored(df: DataFrame, weights: DataFrame, orders: tuple, buckets: int) -> DataFrame:
     mine = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, weights.select("w0").scalar()).otherwise(weights.select("w1").scalar())
-    out = _statistics(df).withColumn("__g", _grams(F.col("__w"), orders, buckets)).withColumn("__m", mine)
-    total = F.aggregate("__g", F.lit(0.0), lambda a, b: a + F.get(F.col("__m"), b))
-    out = out.withColumn("score", F.when(F.size("__g") > 0, F.round(total / F.size("__g"), 6)))
+    out = _statistics(df, max(orders)).withColumn("__m", mine)
+    weight = lambda k: lambda a, h: a + F.get(F.col("__m"), _bucket(h, k, buckets))
+    total, n = F.lit(0.0), F.lit(0)
+    for k, order in enumerate(sorted(set(orders))):
+        total, n = F.aggregate(f"__{order}", total, weight(k)), n + F.size(f"__{order}")
+    out = out.withColumn("score", F.when(n > 0, F.round(total / n, 6)))
     # a generator of one row: filters on the results stop here, instead of spelling out all of the above
     made = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score")
     return out.select(*df.columns, F.explode(F.array(made)).alias("__r")).select(*df.columns, "__r.*")

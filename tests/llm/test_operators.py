@@ -186,6 +186,22 @@ def test_buckets_grow(spark):
     assert sized(0) == sized(1) == quality.BUCKETS[0] and sized(300) == 8192 and sized(600) == 16384
 
 
+def test_quality_hashes_each_word_once(spark, odd):
+    """Grams are counted in compiled code, without lambdas, by the buckets that scores look up; scoring hashes a text's words once."""
+    import re
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    orders, buckets = (1, 2, 3), 64
+    counted = quality._grams(odd.select("text", F.lit(1).alias("half")), orders, buckets)
+    assert "lambda" not in plan(counted)
+    want = Counter()
+    for r in rows(quality._hashes(odd.withColumn("__w", quality.words(F.col("text"))), max(orders))):
+        want.update(h % buckets + k * buckets for k, n in enumerate(orders) for h in r[f"__{n}"])
+    assert Counter(r["b"] for r in rows(counted)) == want
+    weights = spark.range(1).select(F.array_repeat(F.lit(1.0), 2 * buckets).alias("w0"), F.array_repeat(F.lit(1.0), 2 * buckets).alias("w1"))
+    assert len(re.findall(r"xxhash64\(lambda \w+#\d+L?, 42\)", plan(quality._scored(odd, weights, (1, 2), buckets)))) == 1
+
+
 def test_quality_keeps_clean_and_drops_noise(spark):
     import random
 
