@@ -12,6 +12,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+class Kept(dict):
+    """What a worker keeps of one operator. Workers outlive operators, so the next one to begin clears
+    what the last has kept."""
+
+    _last: Kept | None = None
+
+    def begin(self) -> None:
+        if Kept._last is not self:
+            if Kept._last is not None:
+                Kept._last.clear()
+            Kept._last = self
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import one_each, stage, text_hash
+from .common import Kept, one_each, stage, text_hash
 from .neardup import _edges, links, lower_words
 
 #: Least similarity of a link, as a fraction, so that it is compared in whole numbers.
@@ -29,10 +29,12 @@ SHARED_BITS = 28
 COMMON_BITS = (16, 20)
 #: Words whose hashes a worker keeps before it starts afresh.
 CACHED_WORDS = 1 << 19
+#: Rows whose sets are held at once, of a batch of texts; Spark's batches have 10,000.
+ROWS = 1024
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-class _WordHashes(dict):
+class _WordHashes(Kept):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
@@ -58,6 +60,14 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def _texts(batches):
+    """Batches of texts in parts of ROWS; the worker now keeps the hashes of words only."""
+    _HASHES.begin()
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
 def simhash(hashes: np.ndarray) -> int:
     """SimHash of shingle hashes, unsigned."""
     n, set_ = len(hashes), np.zeros(64, dtype=np.int64)
@@ -91,7 +101,7 @@ def _counts(shingle: int, bits: int):
 
     def run(batches):
         n, held, room = np.zeros(1 << bits, dtype=np.int64), [], 1 << 20
-        for batch in batches:
+        for batch in _texts(batches):
             for text in batch["text"]:
                 held.append((np.unique(shingle_hashes(text.as_py(), shingle)) >> np.uint64(64 - bits)).astype(np.int64))
                 room -= len(held[-1])
@@ -123,7 +133,7 @@ def _sketches(shingle: int, similarity: tuple[int, int], common):
     def run(batches):
         table = common.value
         shift = np.uint64(65 - len(table).bit_length())
-        for batch in batches:
+        for batch in _texts(batches):
             nodes, sizes, prints, bits, firsts = [], [], [], [], []
             for text in batch["text"]:
                 every = shingle_hashes(text.as_py(), shingle)
@@ -177,7 +187,7 @@ def _shared_table(nodes: DataFrame):
 
 def _sets(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in _texts(batches):
             made = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["root"], batch["node"], pa.array(made, pa.list_(pa.int64()))], names=["root", "node", "own"])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 
+from .common import Kept
+
 #: Words kept by a worker before it starts afresh; bounds its memory.
 CACHED_WORDS = 400_000
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -17,13 +19,17 @@ def _byte_level() -> list[str]:
     return [rest.get(b, chr(b)) for b in range(256)]
 
 
-class _Words(dict):
+class _Words(Kept):
     """Word -> its ids as little-endian 32-bit bytes."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer, self.parts, self.level = tokenizer, {}, _byte_level()
 
+    def clear(self) -> None:
+        super().clear()
+        self.parts.clear()
+
     def part(self, run: str) -> bytes:
         """Ids of one run of letters or of punctuation, in lower case."""
         if (got := self.parts.get(run)) is None:
@@ -73,6 +79,8 @@ class TextIds:
     def at(cls, path: str) -> TextIds:
         if path not in cls._made:
             cls._made[path] = cls(path)
+        if (words := cls._made[path].words) is not None:
+            words.begin()
         return cls._made[path]
 
     def ids(self, text: str | None) -> bytes:

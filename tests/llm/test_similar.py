@@ -4,10 +4,11 @@ import random
 from collections import Counter
 
 import corpus_pipeline as cp
+import pyarrow as pa
 import pytest
 
 from lamina import ship
-from lamina.llm import similar
+from lamina.llm import packing, similar, tokens
 
 from . import brute
 from .conftest import SCHEMA, cluttered, odd_rows, sentence
@@ -68,3 +69,17 @@ def test_stage_drops_edited_copies(spark):
 def test_empty(spark, empty):
     ship(spark)
     assert similar.similar_documents(empty).count() == 0
+
+
+def test_a_worker_keeps_the_words_of_one_operator_and_few_sets():
+    ids, texts = list(range(3000)), [f"w{i} x{i} y{i} z{i} common words" for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([0] * 3000, pa.int32()), pa.array(texts)], names=["doc_id", "bucket", "text"])
+    pack = packing._pieces(4096, packing.default_tokenizer(), 2, False, 256)
+    again = pa.RecordBatch.from_arrays([batch["doc_id"], batch["doc_id"], batch["text"]], names=["root", "node", "text"])
+    before = pa.Table.from_batches(pack([batch]))
+    words = tokens.TextIds.at(packing.default_tokenizer()).words
+    assert len(words) > 3000 and words.parts
+    sets = list(similar._sets(5)([again]))
+    assert not words and not words.parts and len(similar._HASHES) > 3000
+    assert len(sets) == 3 and pa.Table.from_batches(sets)["node"].to_pylist() == ids
+    assert pa.Table.from_batches(pack([batch])) == before and not similar._HASHES
