@@ -265,20 +265,16 @@ def eq_partial_clusters(spark, sf_dir):
 # -- codecs ------------------------------------------------------------------------------------
 
 
-def _indexed(made):
-    return made.select("doc_id", F.explode("made").alias("x")).select("doc_id", F.col("x.key"), F.col("x.n"))
-
-
 def adler_blocks(spark, sf_dir):
     """Sums of 16-byte blocks and how many places have each."""
     ship(spark)
-    return _indexed(block_indexes(_docs(spark, sf_dir).select("doc_id", "data"))).withColumnRenamed("key", "hash")
+    return block_indexes(_docs(spark, sf_dir).select("doc_id", "data")).withColumnRenamed("key", "hash")
 
 
 def triplet_index(spark, sf_dir):
     """Three-byte keys and the number of their places, 1024 at most."""
     ship(spark)
-    return _indexed(triplet_indexes(_docs(spark, sf_dir).select("doc_id", "data")))
+    return triplet_indexes(_docs(spark, sf_dir).select("doc_id", "data"))
 
 
 def edit_distance(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -72,13 +73,47 @@ def edit_distances(pairs: DataFrame) -> DataFrame:
     return by_row(pairs, edits.distance, ["a", "b"], "long", pa.int64()).withColumnRenamed("made", "distance")
 
 
+#: Rows that a map over the places of a text yields at once.
+ROWS = 1 << 16
+
+
+def _counted(f):
+    def run(batches):
+        for batch in batches:
+            rest = [n for n in batch.schema.names if n != "data"]
+
+            def out(made, batch=batch, rest=rest):
+                at = pa.array(np.repeat([i for i, _, _ in made], [len(k) for _, k, _ in made]).astype(np.int64))
+                cols = [batch[n].take(at) for n in rest] + [pa.array(np.concatenate([x[k] for x in made]), pa.int64()) for k in (1, 2)]
+                return pa.RecordBatch.from_arrays(cols, names=[*rest, "key", "n"])
+
+            made, rows = [], 0
+            for i, data in enumerate(batch["data"]):
+                keys, n = f(data.as_py() or b"")
+                for a in range(0, len(keys), ROWS):
+                    made.append((i, keys[a : a + ROWS], n[a : a + ROWS]))
+                    rows += len(made[-1][1])
+                    if rows >= ROWS:
+                        yield out(made)
+                        made, rows = [], 0
+            if made:
+                yield out(made)
+
+    return run
+
+
+def _counts(rows: DataFrame, f: Callable) -> DataFrame:
+    """A row for each key that f finds in a text, some ROWS at once: a text has as many keys as bytes,
+    so those of a whole batch of texts don't fit a worker."""
+    rest = "".join(f"{x.name} {x.dataType.simpleString()}, " for x in rows.schema if x.name != "data")
+    return rows.mapInArrow(_counted(f), f"{rest}key long, n long")
+
+
 def block_indexes(rows: DataFrame) -> DataFrame:
-    """rows (…, data) -> (…, made): block sums of 16 bytes and the number of their places."""
-    f = lambda d: [{"key": k, "n": len(at)} for k, at in copyinsert.block_index(d).items()]
-    return by_row(rows, f, ["data"], "array<struct<key:long,n:long>>", pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))
+    """rows (…, data) -> (…, key, n): block sums of 16 bytes and the number of their places."""
+    return _counts(rows, copyinsert.block_counts)
 
 
 def triplet_indexes(rows: DataFrame) -> DataFrame:
-    """rows (…, data) -> (…, made): three-byte keys and the number of their places that are kept."""
-    f = lambda d: [{"key": int.from_bytes(k, "big"), "n": len(at)} for k, at in cursor.triplet_index(d).items()]
-    return by_row(rows, f, ["data"], "array<struct<key:long,n:long>>", pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())])))
+    """rows (…, data) -> (…, key, n): three-byte keys and the number of their places that are kept."""
+    return _counts(rows, cursor.triplet_counts)

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lamina.operators import codecs
 from lamina.operators.codecs import CODECS, codec, copyinsert, cursor, edits
 
 R = random.Random(5)
@@ -149,3 +150,16 @@ def test_malformed_edits(bad):
 def test_unknown_codec():
     with pytest.raises(ValueError):
         codec("nope")
+
+
+def test_counts_of_places_are_the_indexes_and_come_in_parts():
+    """The rows of many texts are never held at once."""
+    import pyarrow as pa
+
+    texts = [b"", b"ab", b"abc" * 700, bytes(3000), *(R.randbytes(30_000) for _ in range(12))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "data": texts})
+    for counts, index in ((codecs.copyinsert.block_counts, copyinsert.block_index), (codecs.cursor.triplet_counts, lambda d: {int.from_bytes(k, "big"): at for k, at in cursor.triplet_index(d).items()})):
+        parts = list(codecs._counted(counts)([batch]))
+        assert max(len(p) for p in parts) < 2 * codecs.ROWS and len(parts) > 3
+        got = sorted(zip(*(sum((p[c].to_pylist() for p in parts), []) for c in ("doc_id", "key", "n"))))
+        assert got == sorted((i, k, len(at)) for i, d in enumerate(texts) for k, at in index(d).items())
