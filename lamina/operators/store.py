@@ -7,6 +7,8 @@ are numbered from 0. Deltas decode against their cluster's leader, so the depth
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import stage
+from .cluster import islands, ranges
 from .codecs import codec
+from .graph import PASS
 
 COLUMNS = ("cluster_key", "chunk_type", "number", "role", "codec", "chunk_id", "payload")
 KEY = ("cluster_key", "chunk_type", "number")
@@ -186,29 +190,116 @@ def restore(listed: DataFrame, store: DataFrame) -> DataFrame:
     return joined(listed.select("stream_id", "chunk_no", "chunk_id").join(data, "chunk_id"))
 
 
-def probe_cells(wanted: DataFrame, taken: DataFrame, top: int = 2**32 - 1) -> DataFrame:
+def probe_cells(wanted: DataFrame, taken: DataFrame, top: int = 2**32 - 1, reach: int | None = None, bound: int = PASS) -> DataFrame:
     """ord, cell, at: in order of `ord` (unique), each wanted cell gets the free cell nearest to it: the
-    cell itself, then one above, one below, two above, ... within 0 and top. taken: cell.
+    cell itself, then one above, one below, two above, ... within 0 and top. taken: cell. With `reach`,
+    only so many candidates count, those beyond an end included, and without a free one `at` is null;
+    else a table that lacks room raises.
 
     By rounds instead of one after the other: all ask for their next candidate at once, and a cell
     stays with whoever of those that ever asked comes first; the others ask on. As every cell prefers
     the same order, this ends where the sequential search does. Of those that want the same cell, the
     n-th cannot get better than its n-th candidate, so it begins there. A group of any size is spread
-    over its candidates; a full table raises.
+    over its candidates.
+
+    Where more than half of the free cells are wanted, rounds would be as many as the longest search,
+    so rows go through ordered passes instead, some `bound` at a time, until no cell is free.
     """
+    held = stage(taken.filter(F.col("cell").between(0, top)).select(F.col("cell").alias("at")).distinct(), "taken-cells")
+    asked = stage(wanted.select("ord", "cell"), "asked")
+    free, rows = top + 1 - held.count(), asked.count()
+    if reach is None and rows > free:
+        raise ValueError("no free cell")
+    if 2 * rows > free:
+        return _probed_in_order(asked, held, free, rows, top, reach, bound)
     k = F.col("k")
     step = F.floor((k + 1) / 2)
     place = F.col("cell") + F.when(k % 2 == 1, step).otherwise(-step)
+    place = place if reach is None else F.when(k < reach, place)
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("ord")) - 1
-    held = stage(taken.select(F.col("cell").alias("at")).distinct(), "taken-cells")
-    state = stage(wanted.select("ord", "cell").withColumn("k", rank.cast("long")).withColumn("at", place), "asked")
-    if held.filter(F.col("at").between(0, top)).count() + state.count() > top + 1:
-        raise ValueError("no free cell")
+    state = stage(asked.withColumn("k", rank.cast("long")).withColumn("at", place), "asked")
     while True:
         first = state.groupBy("at").agg(F.min("ord").alias("first"))
         full = held.withColumn("full", F.lit(True))
-        judged = state.join(first, "at").join(full, "at", "left")
-        lost = F.col("full").isNotNull() | (F.col("first") != F.col("ord")) | ~F.col("at").between(0, top)
+        judged = state.join(first, "at", "left").join(full, "at", "left")
+        lost = F.col("at").isNotNull() & (F.col("full").isNotNull() | (F.col("first") != F.col("ord")) | ~F.col("at").between(0, top))
         state = stage(judged.select("ord", "cell", F.when(lost, k + 1).otherwise(k).alias("k"), lost.alias("lost")).withColumn("at", place), "asked")
         if not state.filter("lost").limit(1).count():
             return state.select("ord", "cell", "at")
+
+
+def _nearest(top: int, reach: int | None):
+    """Rows (ord, a, b): without ord, runs of held cells from a to b, ascending; then wanted cells a, by
+    ord -> ord, cell, at."""
+
+    def run(batches):
+        starts, ends, up, down = [], [], {}, {}
+
+        def free(x, over):
+            """The first cell from x on that is not held; `over` has held cells and where to look next."""
+            met = []
+            while x in over:
+                met.append(x)
+                x = over[x]
+            for m in met:
+                over[m] = x
+            return x
+
+        for batch in batches:
+            out = []
+            for o, a, b in zip(batch["ord"].to_pylist(), batch["a"].to_pylist(), batch["b"].to_pylist()):
+                if o is None:
+                    starts.append(a)
+                    ends.append(b)
+                    up[a], down[b] = b + 1, a - 1
+                    continue
+                i = bisect_right(starts, a) - 1
+                within = i >= 0 and a <= ends[i]
+                above = free(max(0, ends[i] + 1 if within else a), up)
+                below = free(min(top, starts[i] - 1 if within else a), down)
+                # the candidates' numbers: 0, then odd ones above, even ones below
+                near = [(max(0, 2 * (above - a) - 1), above)] * (above <= top) + [(2 * (a - below), below)] * (below >= 0)
+                k, at = min(near, default=(None, None))
+                if at is not None and reach is not None and k >= reach:
+                    at = None
+                if at is not None:
+                    up[at], down[at] = at + 1, at - 1
+                out.append((o, a, at))
+            kinds = [batch.schema.field("ord").type, pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["ord", "cell", "at"])
+
+    return run
+
+
+def _probed_in_order(asked: DataFrame, held: DataFrame, free: int, rows: int, top: int, reach: int | None, bound: int) -> DataFrame:
+    """The search in ordered passes. A task gets the runs of held cells and the next rows, some `bound`;
+    after each pass its cells are held too. Rows that come when no cell is free get none."""
+    kind = asked.schema["ord"].dataType.simpleString()
+    n = max(1, -(-rows // bound))
+    cell_kind = asked.schema["cell"].dataType
+    dealt = stage(asked.repartitionByRange(n, "ord").withColumn("part", F.spark_partition_id()), "dealt", "part")
+    sizes = sorted((r["part"], r["count"]) for r in dealt.groupBy("part").count().collect())
+    done, size = [], bound
+    groups: list[list[int]] = []
+    for part, count in sizes:
+        if size + count > bound or not groups:
+            groups.append([])
+            size = 0
+        groups[-1].append(part)
+        size += count
+    while groups and free:
+        parts = groups.pop(0)
+        runs = islands(held.select(F.col("at").alias("sketch")), 1, ranges(top + 1 - free)).groupBy("island").agg(F.max("sketch").alias("b"))
+        runs = runs.select(F.lit(None).cast(kind).alias("ord"), F.col("island").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+        batch = dealt.filter(F.col("part").isin(parts)).select("ord", F.col("cell").cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+        ordered = runs.unionByName(batch).repartition(1).sortWithinPartitions(F.asc_nulls_first("ord"), "a")
+        got = stage(ordered.mapInArrow(_nearest(top, reach), f"ord {kind}, cell long, at long"), "probed")
+        new = got.filter("at IS NOT NULL").select("at")
+        free -= new.count()
+        held = stage(held.unionByName(new), "taken-cells") if groups and free else held
+        done.append(got.withColumn("cell", F.col("cell").cast(cell_kind)))
+    late = [p for parts in groups for p in parts]
+    out = dealt.filter(F.col("part").isin(late)).select("ord", "cell", F.lit(None).cast("long").alias("at")) if late else None
+    for x in done:
+        out = x if out is None else out.unionByName(x)
+    return asked.withColumn("at", F.lit(None).cast("long")) if out is None else out

@@ -243,6 +243,31 @@ def test_probe_of_a_full_table(spark):
         store.probe_cells(spark.createDataFrame([(i, 0) for i in range(3)], "ord long, cell long"), spark.createDataFrame([], "cell long"), 1)
 
 
+@pytest.mark.parametrize("top, reach, rows, bound", [(40, 12, 90, 50_000), (40, 12, 90, 40), (60, 200, 50, 20), (2000, 3, 30, 20), (2000, 12, 20, 20), (49, None, 40, 25)])
+def test_probe_of_more_cells_than_there_are(spark, top, reach, rows, bound):
+    """As in the query's SQL, whose search ends after so many candidates: null then."""
+    r = random.Random(top + rows)
+    wanted = [r.choice([0, 3, top, r.randrange(top + 1), r.randrange(top + 1)]) for _ in range(rows)]
+    taken = [r.randrange(top + 1) for _ in range(9)]
+    used, want = set(taken), []
+    for h in wanted:
+        tries = (h + ((k + 1) // 2 if k % 2 else -(k // 2)) for k in range(reach or 2 * top + 2))
+        at = next((c for c in tries if 0 <= c <= top and c not in used), None)
+        used.add(at)
+        want.append(at)
+    asked = spark.createDataFrame(list(enumerate(wanted)), "ord long, cell long").repartition(3)
+    got = store.probe_cells(asked, spark.createDataFrame([(c,) for c in taken], "cell long"), top, reach, bound)
+    assert [r["at"] for r in sorted(got.collect(), key=lambda r: r["ord"])] == want
+
+
+def test_every_distance_of_leaders_in_blocks(spark):
+    keys = random.Random(4).sample(range(2**32), 70)
+    df = spark.createDataFrame([(k,) for k in keys * 2], "cluster_key long")
+    got = cluster.all_leader_distances(df, block=8)
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, abs(a - b)) for a in keys for b in keys if a != b)
+    assert got.rdd.getNumPartitions() > 20  # the pairs of blocks are spread, however few bytes they are
+
+
 def test_empty_input(spark):
     none = spark.createDataFrame([], "chunk_id string, ord long, data binary")
     assert scrub(none).store.count() == 0
