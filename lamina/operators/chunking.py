@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.gear import as_array, gear_sql, rolling
 
@@ -112,27 +111,43 @@ def normalised_chunks(streams: DataFrame, least: int = 2048, average: int = 8192
     return streams.select("stream_id", "data").mapInArrow(_chunker(lambda d: normalised_ends(d, least, average, most, level)), CHUNKS)
 
 
-def byte_rows(df: DataFrame, id_col: str, data: Column) -> DataFrame:
-    """id_col, i, v: a row a byte, by built-ins."""
-    digits = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
-    rows = df.select(id_col, F.posexplode(digits).alias("i", "x"))
-    digit = lambda k: F.expr(f"instr('123456789ABCDEF', substring(x, {k}, 1))")
-    return rows.select(id_col, "i", (digit(1) * 16 + digit(2)).alias("v"))
+#: Bytes of a text that one row of the built-in forms has.
+SPAN = 4096
 
 
-def gear_rows(rows: DataFrame, id_col: str, bits: int, window: int) -> DataFrame:
-    """rows (id_col, i, v) plus h, the gear hash modulo 2**bits of the bytes so far, by built-ins: the
-    table is an array of 256 constants, and lags of 1, 2, 4, ... double the window in one sort."""
-    table = F.array(*map(F.lit, gear_sql(bits)))
-    order = Window.partitionBy(id_col).orderBy("i")
-    out, w = rows.withColumn("h", F.get(table, F.col("v")).cast("long")), 1
-    while w < window:
-        out = out.withColumn("h", F.pmod(F.col("h") + F.coalesce(F.lag("h", w).over(order), F.lit(0)) * (1 << w), F.lit(1 << bits)))
-        w *= 2
-    return out
+def byte_spans(df: DataFrame, id_col: str, data: Column, window: int) -> DataFrame:
+    """id_col, at, bytes: data in spans of SPAN bytes by built-ins, `at` being the place of the first.
+    `bytes` is an array that begins with the window - 1 bytes before (256 where there are none)."""
+    rows = df.select(id_col, data.alias("data")).filter(F.octet_length("data") > 0)
+    rows = rows.select(id_col, "data", F.explode(F.sequence(F.lit(0), F.octet_length("data") - 1, F.lit(SPAN))).alias("at"))
+    before = F.least("at", F.lit(window - 1))
+    part = F.decode(F.substring("data", F.col("at") - before + 1, before + SPAN), "ISO-8859-1")
+    own = F.transform(F.split(part, ""), F.ascii)
+    return rows.select(id_col, "at", F.concat(F.array_repeat(F.lit(256), F.lit(window - 1) - before), own).alias("bytes"))
+
+
+def gear_hits(df: DataFrame, id_col: str, data: Column, bits: int, value: int, window: int = 32) -> DataFrame:
+    """id_col, i, v, h of the places where the low `bits` bits of the gear hash are `value`, by built-ins:
+    place, byte and the 32-bit hash of up to `window` bytes. A narrow map: a hash of b bits forgets what
+    is b bytes back, so each place looks up its own last bytes, and no row a byte is moved or sorted."""
+    spans = byte_spans(df, id_col, data, window)
+    rows = spans.select(id_col, "at", "bytes", F.explode(F.sequence(F.lit(window - 1), F.size("bytes") - 1)).alias("k"))
+
+    def hashed(n: int, of: int):
+        table = F.array(*map(F.lit, [*gear_sql(of), 0]))
+        terms = [F.get(table, F.get("bytes", F.col("k") - j)).cast("long") * (1 << j) for j in range(n)]
+        return sum(terms[1:], terms[0]).bitwiseAND(F.lit((1 << of) - 1))
+
+    few = min(bits, 7)  # looked up at every place; the rest of the bits where these agree
+    hits = rows.filter(hashed(few, few) == value % (1 << few))
+    hits = hits if few == bits else hits.filter(hashed(min(bits, window), bits) == value)
+    table = F.array(*map(F.lit, [*gear_sql(32), 0]))
+    last = F.slice("bytes", F.col("k") - window + 2, window)
+    whole = F.aggregate(last, F.lit(0).cast("long"), lambda h, v: (h * 2 + F.get(table, v)).bitwiseAND(F.lit((1 << 32) - 1)))
+    return hits.select(id_col, (F.col("at") + F.col("k") - (window - 1)).alias("i"), F.get("bytes", "k").alias("v"), whole.alias("h"))
 
 
 def gear_cuts(df: DataFrame, id_col: str, data: Column, bits: int = BITS) -> DataFrame:
     """id_col, cut: places that a piece ends before, by built-ins."""
-    hashed = gear_rows(byte_rows(df, id_col, data), id_col, bits, 16)
-    return hashed.filter((F.col("h") == 1 << (bits - 1)) & (F.col("i") > 0)).select(id_col, F.col("i").cast("long").alias("cut"))
+    hits = gear_hits(df, id_col, data, bits, 1 << (bits - 1), max(16, bits))
+    return hits.filter("i > 0").select(id_col, F.col("i").cast("long").alias("cut"))

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.ansi import mul_add_mod32
 from ..functions.gear import as_array, rolling
-from .chunking import byte_rows, gear_rows
+from .chunking import gear_hits
 
 GAPS, LEAST_COUNT, FULL_RANKS = 8, 50, 16
 SHIFTS = (0, 0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 6)
@@ -147,18 +147,23 @@ def sketches(chunks: DataFrame, kind: str = "gear", rate: int = RATE, groups: in
 # -- spectral, built-ins -----------------------------------------------------------------------
 
 
+def _counts(df: DataFrame, id_col: str, data: Column, n: int) -> DataFrame:
+    """id_col, x, c: the runs of n bytes as numbers, and their counts. They are cut out of the data and
+    counted as they are; only the different ones of a row become numbers."""
+    rows = df.select(id_col, data.alias("data")).filter(F.octet_length("data") >= n)
+    rows = rows.select(id_col, "data", F.explode(F.sequence(F.lit(1), F.octet_length("data") - (n - 1))).alias("k"))
+    rows = rows.select(id_col, F.substring("data", F.col("k"), F.lit(n)).alias("x")).groupBy(id_col, "x").agg(F.count(F.lit(1)).alias("c"))
+    return rows.select(id_col, F.conv(F.hex("x"), 16, 10).cast("int").alias("x"), "c")
+
+
 def byte_histogram(df: DataFrame, id_col: str, data: Column) -> DataFrame:
-    return byte_rows(df, id_col, data).groupBy(id_col, "v").agg(F.count(F.lit(1)).alias("c"))
+    """id_col, v, c: counts of bytes."""
+    return _counts(df, id_col, data, 1).withColumnRenamed("x", "v")
 
 
 def pair_histogram(df: DataFrame, id_col: str, data: Column) -> DataFrame:
-    """Counts of adjacent pairs; the pairs come from the hex string itself, so no window is needed."""
-    h = F.hex(data)
-    evens = F.regexp_extract_all(h, F.lit("(....)"), F.lit(1))
-    odds = F.regexp_extract_all(F.substring(h, 3, 2**30), F.lit("(....)"), F.lit(1))
-    rows = df.select(id_col, F.explode(F.concat(evens, odds)).alias("x")).groupBy(id_col, "x").agg(F.count(F.lit(1)).alias("c"))
-    n = F.conv("x", 16, 10).cast("int")
-    return rows.select(id_col, F.floor(n / 256).cast("int").alias("a"), (n % 256).alias("b"), "c")
+    """id_col, a, b, c: counts of adjacent pairs."""
+    return _counts(df, id_col, data, 2).select(id_col, F.shiftright("x", 8).alias("a"), (F.col("x") % 256).alias("b"), "c")
 
 
 def spectrum_c(hist: DataFrame, id_col: str) -> DataFrame:
@@ -193,8 +198,12 @@ def spectrum_p(pairs: DataFrame, id_col: str) -> DataFrame:
 
 
 def spectral_native(df: DataFrame, id_col: str, data: Column) -> DataFrame:
-    """id_col, sketch: the three parts combined, by built-ins only."""
-    hist, pairs = byte_histogram(df, id_col, data), pair_histogram(df, id_col, data)
+    """id_col, sketch: the three parts combined, by built-ins only. A byte begins a pair or is the last,
+    so its count comes from those of the pairs, and the data is gone through once."""
+    pairs = pair_histogram(df, id_col, data)
+    last = df.select(id_col, data.alias("data")).filter(F.octet_length("data") > 0)
+    last = last.select(id_col, F.conv(F.hex(F.substring("data", F.octet_length("data"), F.lit(1))), 16, 10).cast("int").alias("v"), F.lit(1).cast("long").alias("c"))
+    hist = pairs.select(id_col, F.col("a").alias("v"), "c").unionByName(last).groupBy(id_col, "v").agg(F.sum("c").alias("c"))
     parts = [spectrum_c(hist, id_col), spectrum_f(hist, id_col), spectrum_p(pairs, id_col)]
     every = df.select(id_col, F.lit(0).cast("long").alias("hash"))
     for p in parts:
@@ -207,13 +216,12 @@ def spectral_native(df: DataFrame, id_col: str, data: Column) -> DataFrame:
 
 def gear_samples_native(df: DataFrame, id_col: str, data: Column, rate: int = RATE) -> DataFrame:
     """id_col, n_samples, by built-ins."""
-    h = gear_rows(byte_rows(df, id_col, data), id_col, rate, 8)
-    hit = h.groupBy(id_col).agg(F.count(F.when(F.col("h") == 0, 1)).alias("n_samples"))
-    return df.select(id_col).join(hit, id_col, "left").select(id_col, F.coalesce("n_samples", F.lit(0)).cast("long").alias("n_samples"))
+    hit = gear_hits(df, id_col, data, rate, 0, max(8, rate)).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    return df.select(id_col).join(hit, id_col, "left").select(id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_samples"))
 
 
 def gear_features_native(df: DataFrame, id_col: str, data: Column, n: int = GROUPS * SUPERS, rate: int = RATE) -> DataFrame:
     """id_col, pos, value: features of rows with a sample, by built-ins."""
-    h = gear_rows(byte_rows(df, id_col, data), id_col, 32, 32).filter(F.col("h") % (1 << rate) == 0)
+    h = gear_hits(df, id_col, data, rate, 0)
     made = h.groupBy(id_col).agg(*(F.min(mul_add_mod32(c, F.col("h"), F.col("v"))).alias(f"f{i}") for i, c in enumerate(coefficients(n))))
     return made.select(id_col, F.posexplode(F.array(*(f"f{i}" for i in range(n)))).alias("pos", "value"))

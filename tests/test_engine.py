@@ -268,6 +268,24 @@ def test_every_distance_of_leaders_in_blocks(spark):
     assert got.rdd.getNumPartitions() > 20  # the pairs of blocks are spread, however few bytes they are
 
 
+def test_built_in_forms_move_no_row_a_byte(spark):
+    """Spans meet without a seam, and only hits and counts are shuffled."""
+    r = random.Random(8)
+    texts = [None, b"", b"a", b"ab", bytes(9000), *(r.randbytes(n) for n in (31, 4095, 4096, 4097, 20_000))]
+    df = spark.createDataFrame([(i, None if t is None else bytearray(t)) for i, t in enumerate(texts)], "doc_id long, data binary")
+    made = [sketch.gear_features(t or b"", 12) for t in texts]
+    data = F.col("data")
+    got = sketch.gear_samples_native(df, "doc_id", data)
+    assert dict(map(tuple, got.collect())) == {i: n for i, (n, _) in enumerate(made)}
+    found = {(x["doc_id"], x["pos"]): x["value"] for x in sketch.gear_features_native(df, "doc_id", data).collect()}
+    assert found == {(i, k): v for i, (_, f) in enumerate(made) for k, v in enumerate(f or [])}
+    for bits in (6, 13):
+        cuts = chunking.gear_cuts(df, "doc_id", data, bits)
+        assert sorted(map(tuple, cuts.collect())) == [(i, e) for i, t in enumerate(texts) for e in chunking.gear_ends(t or b"", bits).tolist()[:-1]]
+    assert "Window" not in cuts._jdf.queryExecution().toString() and "Exchange" not in cuts._jdf.queryExecution().toString()
+    assert dict(map(tuple, sketch.spectral_native(df, "doc_id", data).collect())) == {i: sketch.spectral_sketch(t or b"") for i, t in enumerate(texts)}
+
+
 def test_empty_input(spark):
     none = spark.createDataFrame([], "chunk_id string, ord long, data binary")
     assert scrub(none).store.count() == 0
