@@ -163,3 +163,30 @@ def test_counts_of_places_are_the_indexes_and_come_in_parts():
         assert max(len(p) for p in parts) < 2 * codecs.ROWS and len(parts) > 3
         got = sorted(zip(*(sum((p[c].to_pylist() for p in parts), []) for c in ("doc_id", "key", "n"))))
         assert got == sorted((i, k, len(at)) for i, d in enumerate(texts) for k, at in index(d).items())
+
+
+def test_blocks_are_looked_up_without_an_index_of_objects(monkeypatch):
+    """An object for each block of the parent took nearly all of the time."""
+    monkeypatch.setattr(copyinsert, "block_index", None)
+    for parent, target in ((BASE, changed(BASE, 15, 1000)), (bytes(500), bytes(700)), (BASE[:20], BASE[:10]), (b"", BASE)):
+        assert copyinsert.decode(parent, copyinsert.encode_blocks(parent, target)) == target
+
+
+def _plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_distance_goes_over_the_shorter_text_and_no_bound_is_above_it(monkeypatch):
+    r, steps, went = random.Random(6), edits._steps, []
+    monkeypatch.setattr(edits, "_steps", lambda a, b: went.append(len(a) >= len(b)) or steps(a, b))
+    for _ in range(150):
+        a = bytes(r.choices(b"abc", k=r.randrange(60)))
+        b = bytes(r.choices(b"abcd", k=r.randrange(90))) if r.random() < 0.5 else a[: r.randrange(60)] + a[r.randrange(30) :]
+        d = _plain_distance(a, b)
+        assert edits.distance(a, b) == d and edits._least(a, b) <= d
+    assert all(went) and edits._least(R.randbytes(3000), R.randbytes(3000)) > 750  # no script is tried there
