@@ -154,7 +154,7 @@ def normalised_chunks(spark, sf_dir):
 
 def _spectral_units(spark, sf_dir) -> DataFrame:
     units = _units(spark, sf_dir)
-    return stage(sketch.sketches(units, "spectral").join(units.select("chunk_id", "ord"), "chunk_id"), "spectral")
+    return stage(sketch.sketches(units, "spectral", keep=("chunk_id", "ord")), "spectral")
 
 
 def eq_clusters(spark, sf_dir):
@@ -248,7 +248,7 @@ def store_insert(spark, sf_dir):
 
 def _gear_units(spark, sf_dir) -> DataFrame:
     units = _units(spark, sf_dir)
-    return stage(sketch.sketches(units, "gear").join(units.select("chunk_id", "ord"), "chunk_id"), "gear")
+    return stage(sketch.sketches(units, "gear", keep=("chunk_id", "ord")), "gear")
 
 
 def similar_pairs(spark, sf_dir):
@@ -281,7 +281,7 @@ def triplet_index(spark, sf_dir):
 def edit_distance(spark, sf_dir):
     """Distance of each clustered document from its parent, in bytes."""
     units = stage(_units(spark, sf_dir), "units")
-    sketched = stage(sketch.sketches(units, "spectral").join(units.select("chunk_id", "ord"), "chunk_id"), "spectral")
+    sketched = stage(sketch.sketches(units, "spectral", keep=("chunk_id", "ord")), "spectral")
     chosen = store.parents(stage(cluster.leader_clusters(sketched), "led")).join(units.select("chunk_id", "data"), "chunk_id")
     led = chosen.filter("is_parent").select("cluster_key", F.col("data").alias("a"))
     return edit_distances(chosen.filter("NOT is_parent").join(led, "cluster_key").select(F.col("ord").alias("doc_id"), "a", F.col("data").alias("b")))
@@ -318,13 +318,18 @@ def ddelta_plan(spark, sf_dir):
     return plan.select("doc_id", F.col("chunk_no").alias("piece_no"), F.when(F.col("at").isNull(), "insert").otherwise("copy").alias("op"), F.col("at").alias("parent_offset"), "length")
 
 
+def _checked(back: DataFrame) -> DataFrame:
+    """chunk_id, got, n_bytes: digest and length of data that came back. A chunk's id is its digest, so
+    the two are compared without moving the data."""
+    return back.select("chunk_id", F.sha2("data", 256).alias("got"), F.octet_length("data").cast("long").alias("n_bytes"))
+
+
 def _roundtrip(spark, sf_dir, name: str):
     """Every different text through cluster, delta and decode."""
     units = stage(_units(spark, sf_dir), "units")
     made = scrub(units, ScrubConfig(codec=name))
-    back = store.decode(made.store, made.store)
-    both = units.join(back.withColumnRenamed("data", "got"), "chunk_id", "left")
-    return both.select(F.col("ord").alias("doc_id"), F.col("data").eqNullSafe(F.col("got")).alias("ok"), F.octet_length("got").cast("long").alias("n_bytes"))
+    back = _checked(store.decode(made.store, made.store))
+    return units.select("chunk_id", "ord").join(back, "chunk_id", "left").select(F.col("ord").alias("doc_id"), F.col("chunk_id").eqNullSafe(F.col("got")).alias("ok"), "n_bytes")
 
 
 def restore_documents(spark, sf_dir):
@@ -333,8 +338,8 @@ def restore_documents(spark, sf_dir):
     streams = document_streams(spark, sf_dir)
     chunks = stage(chunking.gear_chunks(streams, 8), "chunks").withColumn("chunk_id", F.col("sha256"))
     made = scrub(stage(store.unique_chunks(chunks), "unique"))
-    back = store.restore(store.manifest(chunks, made.store), made.store)
-    return streams.select("stream_id").join(back, "stream_id", "left").select(F.col("stream_id").alias("doc_id"), F.sha2(F.coalesce("data", F.lit(b"")), 256).alias("sha256"))
+    back = store.restore(store.manifest(chunks, made.store), made.store).select("stream_id", F.sha2("data", 256).alias("sha256"))
+    return streams.select("stream_id").join(back, "stream_id", "left").select(F.col("stream_id").alias("doc_id"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("sha256"))
 
 
 def incremental_scrub(spark, sf_dir):
@@ -342,9 +347,9 @@ def incremental_scrub(spark, sf_dir):
     units = stage(_units(spark, sf_dir), "units")
     first = scrub(units.join(_known(spark, sf_dir).distinct(), "chunk_id", "left_semi"))
     second = scrub(units, existing=first.store)
-    both = stage(first.store.unionByName(second.store), "both")
-    back = store.decode(both, both)
-    return units.join(back.withColumnRenamed("data", "got"), "chunk_id", "left").select(F.col("ord").alias("doc_id"), F.col("data").eqNullSafe(F.col("got")).alias("ok"))
+    both = first.store.unionByName(second.store)
+    back = _checked(store.decode(both, both))
+    return units.select("chunk_id", "ord").join(back, "chunk_id", "left").select(F.col("ord").alias("doc_id"), F.col("chunk_id").eqNullSafe(F.col("got")).alias("ok"))
 
 
 def scrub_report(spark, sf_dir):

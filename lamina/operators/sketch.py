@@ -11,6 +11,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,9 +117,28 @@ def super_features(features: list[int] | None, groups: int = GROUPS, supers: int
     return [hashlib.sha256(",".join(map(str, own)).encode()).hexdigest() for own in zip(*runs)]
 
 
-def _sketcher(kind: str, id_type: pa.DataType, rate: int, groups: int, supers: int):
+#: Texts that are sketched at once, and bytes of them (one text at least).
+TEXTS, BYTES = 1000, 4 << 20
+
+
+def in_parts(batches, *columns: str):
+    """The batches in slices of TEXTS rows or BYTES in the columns at most, so that no worker holds
+    the objects of a whole batch."""
+    for batch in batches:
+        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch[c]), 0), dtype=np.int64) for c in columns)
+        if not len(batch):
+            yield batch
+        ends, a = np.cumsum(sizes), 0
+        while a < len(batch):
+            b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES, side="right"))
+            b = min(max(b, a + 1), a + TEXTS, len(batch))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def _sketcher(kind: str, keep: tuple, rate: int, groups: int, supers: int):
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, "data"):
             data = [x.as_py() or b"" for x in batch["data"]]
             if kind == "spectral":
                 cols = [pa.array([spectral_sketch(d) for d in data], pa.int64())]
@@ -127,21 +147,21 @@ def _sketcher(kind: str, id_type: pa.DataType, rate: int, groups: int, supers: i
                 made = [gear_features(d, groups * supers, rate) for d in data]
                 cols = [pa.array([n for n, _ in made], pa.int64()), pa.array([f for _, f in made], pa.list_(pa.int64())), pa.array([super_features(f, groups, supers) for _, f in made], pa.list_(pa.string()))]
                 names = ["n_samples", "features", "super_features"]
-            yield pa.RecordBatch.from_arrays([batch["chunk_id"], *cols], names=["chunk_id", *names])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in keep), *cols], names=[*keep, *names])
 
     return run
 
 
-def sketches(chunks: DataFrame, kind: str = "gear", rate: int = RATE, groups: int = GROUPS, supers: int = SUPERS) -> DataFrame:
-    """chunk_id and its sketch, of chunks (chunk_id, data): `spectral` gives sketch; `gear` gives
-    n_samples, features, super_features (null without samples)."""
+def sketches(chunks: DataFrame, kind: str = "gear", rate: int = RATE, groups: int = GROUPS, supers: int = SUPERS, keep: tuple = ("chunk_id",)) -> DataFrame:
+    """chunk_id (or the columns of `keep`) and its sketch, of chunks (chunk_id, data): `spectral` gives
+    sketch; `gear` gives n_samples, features, super_features (null without samples)."""
     if kind not in ("spectral", "gear"):
         raise ValueError(f"unknown sketch {kind!r}")
     if groups < 1 or supers < 1 or not 0 <= rate < 32:
         raise ValueError("groups, supers and rate must be positive")
-    id_type = chunks.schema["chunk_id"].dataType.simpleString()
+    kept = ", ".join(f"{n} {chunks.schema[n].dataType.simpleString()}" for n in keep)
     made = "sketch long" if kind == "spectral" else "n_samples long, features array<long>, super_features array<string>"
-    return chunks.select("chunk_id", "data").mapInArrow(_sketcher(kind, None, rate, groups, supers), f"chunk_id {id_type}, {made}")
+    return chunks.select(*keep, "data").mapInArrow(_sketcher(kind, keep, rate, groups, supers), f"{kept}, {made}")
 
 
 # -- spectral, built-ins -----------------------------------------------------------------------

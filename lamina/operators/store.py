@@ -19,6 +19,7 @@ from ..sources.tables import stage
 from .cluster import islands, ranges
 from .codecs import codec
 from .graph import PASS
+from .sketch import in_parts
 
 COLUMNS = ("cluster_key", "chunk_type", "number", "role", "codec", "chunk_id", "payload")
 KEY = ("cluster_key", "chunk_type", "number")
@@ -54,7 +55,7 @@ def parents(assigned: DataFrame, store: DataFrame | None = None) -> DataFrame:
 
 def _coder(way: str):
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, "parent", "data"):
             rows = zip(batch["codec"].to_pylist(), batch["parent"].to_pylist(), batch["data"].to_pylist())
             made = [d if n is None else None if p is None or d is None else getattr(codec(n), way)(p, d) for n, p, d in rows]
             names = [n for n in batch.schema.names if n not in ("parent", "data", "codec")]

@@ -45,17 +45,18 @@ class ScrubResult:
 def assign(chunks: DataFrame, config: ScrubConfig, known: DataFrame | None = None) -> DataFrame:
     """chunk_id, ord, cluster_key (string) of unique chunks (chunk_id, ord, data).
 
-    Only ids, ords and sketches move: the data is sketched in a narrow map and joined again for
-    encoding alone. A gear sketch under the leader clusterer is its least feature.
+    Only ids, ords and sketches move, of which just what the clusterer needs: the data is sketched in a
+    narrow map, with the ords beside it, and joined again for encoding alone. A gear sketch under the
+    leader clusterer is its least feature.
     """
-    made = sketching.sketches(chunks, config.sketch, config.rate).join(chunks.select("chunk_id", "ord"), "chunk_id")
-    made = stage(made, "sketches")
+    made = sketching.sketches(chunks, config.sketch, config.rate, keep=("chunk_id", "ord"))
     if config.clusterer == "equal":
-        return cluster.equal_clusters(made, "sketch" if config.sketch == "spectral" else "super_features")
+        return stage(cluster.equal_clusters(made, "sketch" if config.sketch == "spectral" else "super_features"), "equal")
     if config.clusterer == "partial":
         return cluster.partial_clusters(made, "super_features", config.mismatches)
     if config.sketch == "gear":
         made = made.withColumn("sketch", F.coalesce(F.array_min("features"), F.lit(2**32 - 1)))
+    made = stage(made.select("chunk_id", "ord", "sketch"), "sketches")
     led = cluster.leader_clusters(made.select("chunk_id", "ord", "sketch"), config.width, known)
     return led.select("chunk_id", "ord", F.col("cluster_key").cast("string").alias("cluster_key"))
 
@@ -65,12 +66,11 @@ def scrub(chunks: DataFrame, config: ScrubConfig = ScrubConfig(), existing: Data
     in the shared folder, so that each is timed, runs once and survives lost executors."""
     ship(chunks.sparkSession)
     seconds, t = {}, time.time()
-    if existing is not None:
-        chunks = store.new_chunks(chunks, existing)
+    new = chunks if existing is None else store.new_chunks(chunks, existing)
     known = None
     if existing is not None and config.clusterer == "leader":
         known = existing.filter("role = 'leader'").select(F.col("cluster_key").cast("long").alias("leader"))
-    assigned = stage(store.parents(assign(chunks, config, known), existing), "assigned")
+    assigned = stage(store.parents(assign(new, config, known), existing), "assigned")
     seconds["sketch_and_cluster"] = time.time() - t
     t = time.time()
     rows = stage(store.encode(assigned, chunks, config.codec, existing, config.shrink_only), "store")
