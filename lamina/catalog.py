@@ -13,7 +13,7 @@ from .functions.gear import gear_sql
 from .operators import chunking, cluster, report, sketch, store
 from .operators.codecs import CODECS, block_indexes, edit_distances, triplet_indexes
 from .plans.scrub import ScrubConfig, measure, scrub
-from .sources.tables import document_streams, memory_streams, page_streams, stage, table
+from .sources.tables import document_streams, memory_streams, page_streams, stage, stage_by, table
 
 
 def _raw():
@@ -204,7 +204,7 @@ def parent_choice(spark, sf_dir):
 
 def _stored(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The store of the different texts under leader clusters, and the texts (chunk_id, ord, data)."""
-    units = stage(_units(spark, sf_dir), "units")
+    units = stage_by(_units(spark, sf_dir), "units", "chunk_id")
     return scrub(units, ScrubConfig("spectral", "leader")).store, units
 
 
@@ -280,7 +280,7 @@ def triplet_index(spark, sf_dir):
 
 def edit_distance(spark, sf_dir):
     """Distance of each clustered document from its parent, in bytes."""
-    units = stage(_units(spark, sf_dir), "units")
+    units = stage_by(_units(spark, sf_dir), "units", "chunk_id")
     sketched = stage(sketch.sketches(units, "spectral", keep=("chunk_id", "ord")), "spectral")
     chosen = store.parents(stage(cluster.leader_clusters(sketched), "led")).join(units.select("chunk_id", "data"), "chunk_id")
     led = chosen.filter("is_parent").select("cluster_key", F.col("data").alias("a"))
@@ -326,7 +326,7 @@ def _checked(back: DataFrame) -> DataFrame:
 
 def _roundtrip(spark, sf_dir, name: str):
     """Every different text through cluster, delta and decode."""
-    units = stage(_units(spark, sf_dir), "units")
+    units = stage_by(_units(spark, sf_dir), "units", "chunk_id")
     made = scrub(units, ScrubConfig(codec=name))
     back = _checked(store.decode(made.store, made.store))
     return units.select("chunk_id", "ord").join(back, "chunk_id", "left").select(F.col("ord").alias("doc_id"), F.col("chunk_id").eqNullSafe(F.col("got")).alias("ok"), "n_bytes")
@@ -337,15 +337,15 @@ def restore_documents(spark, sf_dir):
     ship(spark)
     streams = document_streams(spark, sf_dir)
     chunks = stage(chunking.gear_chunks(streams, 8), "chunks").withColumn("chunk_id", F.col("sha256"))
-    made = scrub(stage(store.unique_chunks(chunks), "unique"))
+    made = scrub(stage_by(store.unique_chunks(chunks), "unique", "chunk_id"))
     back = store.restore(store.manifest(chunks, made.store), made.store).select("stream_id", F.sha2("data", 256).alias("sha256"))
     return streams.select("stream_id").join(back, "stream_id", "left").select(F.col("stream_id").alias("doc_id"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("sha256"))
 
 
 def incremental_scrub(spark, sf_dir):
     """The labelled documents first, then the rest against their store: every text is stored once."""
-    units = stage(_units(spark, sf_dir), "units")
-    first = scrub(units.join(_known(spark, sf_dir).distinct(), "chunk_id", "left_semi"))
+    units = stage_by(_units(spark, sf_dir), "units", "chunk_id")
+    first = scrub(units.join(stage(_known(spark, sf_dir).distinct(), "known"), "chunk_id", "left_semi"))
     second = scrub(units, existing=first.store)
     both = first.store.unionByName(second.store)
     back = _checked(store.decode(both, both))
@@ -353,7 +353,7 @@ def incremental_scrub(spark, sf_dir):
 
 
 def scrub_report(spark, sf_dir):
-    units = stage(_units(spark, sf_dir), "units")
+    units = stage_by(_units(spark, sf_dir), "units", "chunk_id")
     logical = _docs(spark, sf_dir).agg(F.sum(F.octet_length("data"))).first()[0]
     return report.scrub_report(scrub(units).store, logical, units.agg(F.sum(F.octet_length("data"))).first()[0])
 

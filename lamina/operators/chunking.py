@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.gear import as_array, gear_sql, rolling
+from ..functions.parts import in_parts
 
 #: A piece ends before a byte where the low BITS bits of the gear hash are 2**(BITS - 1).
 BITS = 13
@@ -75,7 +76,7 @@ def normalised_ends(data: bytes, least: int, average: int, most: int, level: int
 
 def _chunker(ends_of):
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, "data"):
             ids, nos, at, size, sha, raw = [], [], [], [], [], []
             for i, data in zip(batch["stream_id"].to_pylist(), batch["data"]):
                 data, a = data.as_py() or b"", 0

@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from ...functions.parts import in_parts
 from . import copyinsert, cursor, edits
 
 
@@ -54,7 +55,7 @@ def codec(name: str) -> Codec:
 
 def _mapped(f, columns: list[str], kind: pa.DataType):
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches, *columns):
             made = [f(*(x or b"" for x in row)) for row in zip(*(batch[c].to_pylist() for c in columns))]
             rest = [n for n in batch.schema.names if n not in columns]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in rest), pa.array(made, kind)], names=[*rest, "made"])

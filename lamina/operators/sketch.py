@@ -11,13 +11,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ansi import mul_add_mod32
 from ..functions.gear import as_array, rolling
+from ..functions.parts import in_parts
 from .chunking import gear_hits
 
 GAPS, LEAST_COUNT, FULL_RANKS = 8, 50, 16
@@ -117,25 +117,6 @@ def super_features(features: list[int] | None, groups: int = GROUPS, supers: int
     return [hashlib.sha256(",".join(map(str, own)).encode()).hexdigest() for own in zip(*runs)]
 
 
-#: Texts that are sketched at once, and bytes of them (one text at least).
-TEXTS, BYTES = 1000, 4 << 20
-
-
-def in_parts(batches, *columns: str):
-    """The batches in slices of TEXTS rows or BYTES in the columns at most, so that no worker holds
-    the objects of a whole batch."""
-    for batch in batches:
-        sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch[c]), 0), dtype=np.int64) for c in columns)
-        if not len(batch):
-            yield batch
-        ends, a = np.cumsum(sizes), 0
-        while a < len(batch):
-            b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES, side="right"))
-            b = min(max(b, a + 1), a + TEXTS, len(batch))
-            yield batch.slice(a, b - a)
-            a = b
-
-
 def _sketcher(kind: str, keep: tuple, rate: int, groups: int, supers: int):
     def run(batches):
         for batch in in_parts(batches, "data"):

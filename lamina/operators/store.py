@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.parts import in_parts
 from ..sources.tables import stage
 from .cluster import islands, ranges
 from .codecs import codec
 from .graph import PASS
-from .sketch import in_parts
 
 COLUMNS = ("cluster_key", "chunk_type", "number", "role", "codec", "chunk_id", "payload")
 KEY = ("cluster_key", "chunk_type", "number")
@@ -70,6 +70,14 @@ def coded(df: DataFrame, way: str) -> DataFrame:
     return df.mapInArrow(_coder(way), f"{rest}, made binary")
 
 
+def _named(led: DataFrame, rows: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """The leaders (cluster_key, parent) that rows name, by hash: a few others may stay, for the join
+    that follows. Most clusters have no delta, and their leaders' data need not move. Keys beyond `most`
+    are not sent to all executors; then all leaders stay."""
+    keys = stage(rows.select(F.xxhash64("cluster_key").alias("h")).distinct(), "named")
+    return led.join(F.broadcast(keys), F.xxhash64("cluster_key") == F.col("h"), "left_semi") if keys.count() <= most else led
+
+
 def encode(assigned: DataFrame, chunks: DataFrame, name: str = "gdelta", store: DataFrame | None = None, shrink_only: bool = False) -> DataFrame:
     """Store rows of new chunks. assigned: chunk_id, ord, cluster_key, is_parent; chunks: chunk_id, data.
 
@@ -82,7 +90,7 @@ def encode(assigned: DataFrame, chunks: DataFrame, name: str = "gdelta", store:
     led = whole.filter("is_parent").select("cluster_key", F.col("data").alias("parent"))
     if store is not None:
         led = led.unionByName(store.filter("role = 'leader'").select("cluster_key", F.col("payload").alias("parent")))
-    members = whole.filter("NOT is_parent").join(led, "cluster_key")
+    members = whole.filter("NOT is_parent").join(_named(led, assigned.filter("NOT is_parent")), "cluster_key")
     made = coded(members.select("cluster_key", "chunk_id", "ord", F.col("data").alias("raw"), F.lit(name).alias("codec"), "parent", "data"), "encode")
     if shrink_only:
         made = made.withColumn("made", F.when(F.octet_length("made") < F.octet_length("raw"), F.col("made")))
@@ -103,7 +111,8 @@ def decode(rows: DataFrame, store: DataFrame, keep: tuple = ("chunk_id",)) -> Da
     decoded against their leader, each row by its own codec. A delta whose leader is missing raises."""
     led = store.filter("role = 'leader'").select("cluster_key", F.col("payload").alias("parent"))
     simple = rows.filter("chunk_type = 'simple'").select(*keep, F.col("payload").alias("data"))
-    deltas = rows.filter("chunk_type = 'delta'").join(led, "cluster_key", "left")
+    deltas = rows.filter("chunk_type = 'delta'")
+    deltas = deltas.join(_named(led, deltas), "cluster_key", "left")
     deltas = deltas.withColumn("parent", F.coalesce("parent", F.raise_error(F.concat(F.lit("no leader for "), "cluster_key")).cast("binary")))
     return simple.unionByName(coded(deltas.select(*keep, "codec", "parent", F.col("payload").alias("data")), "decode").withColumnRenamed("made", "data"))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions.gear import GEAR, rolling
+from lamina.functions.parts import in_parts
 from lamina.operators import chunking, cluster, graph, sketch, store
 from lamina.plans.scrub import ScrubConfig, measure, scrub
 from lamina.sources.tables import file_streams, memory_streams, write_report
@@ -286,6 +287,26 @@ def test_built_in_forms_move_no_row_a_byte(spark):
     assert dict(map(tuple, sketch.spectral_native(df, "doc_id", data).collect())) == {i: sketch.spectral_sketch(t or b"") for i, t in enumerate(texts)}
 
 
+def test_workers_take_batches_in_parts():
+    """Objects of a whole batch of texts were held at once."""
+    import pyarrow as pa
+
+    data = [None, b"", *(R.randbytes(900_000) for _ in range(9)), R.randbytes(6_000_000), *[b"abc" * 5] * 2500]
+    batch = pa.RecordBatch.from_pydict({"stream_id": range(len(data)), "chunk_id": range(len(data)), "data": pa.array(data, pa.binary())})
+    for f in (chunking._chunker(chunking.gear_ends), sketch._sketcher("gear", ("chunk_id",), 7, 2, 6)):
+        made = list(f([batch]))
+        assert len(made) >= 6 and max(x.nbytes for x in made) < 9_000_000
+    parts = list(in_parts([batch], "data"))
+    assert sum((x["data"].to_pylist() for x in parts), []) == data and [len(x) for x in in_parts([batch.slice(0, 0)], "data")] == [0]
+
+
+def test_only_named_leaders_move(spark):
+    led = spark.createDataFrame([(str(i), bytearray(b"x")) for i in range(50)], "cluster_key string, parent binary")
+    rows = spark.createDataFrame([("3",), ("3",), ("7",)], "cluster_key string")
+    assert sorted(r["cluster_key"] for r in store._named(led, rows).collect()) == ["3", "7"]
+    assert store._named(led, rows, 1).count() == 50
+
+
 def test_empty_input(spark):
     none = spark.createDataFrame([], "chunk_id string, ord long, data binary")
     assert scrub(none).store.count() == 0
